@@ -9,6 +9,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows go to Python in batches of about so many bytes at most, however long their texts are.
+ARROW_BYTES = 16 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -18,6 +22,8 @@ def ship(spark: SparkSession) -> None:
     Workers that get it by ``PYTHONPATH`` or ``--py-files`` as well load the same code.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW).rstrip("b") == "67108864":  # Spark's default; a value set by the user stays
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     if sc.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
