@@ -13,8 +13,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies by SimHash the row with the smallest doc_id stays."""
-    return simhash.keep_one(docs, shingle=5, radius=2)
+    """Of each group of texts that share 0.8 of their five-word shingles the row with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
