@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, licenses, pieces, simhash, substrings, tokencounts, toxicity, urls, warc
+from . import decontamination, embeddings, licenses, oracles, pieces, simhash, substrings, tokencounts, toxicity, urls, warc
 from ._env import scratch
 
 
@@ -71,21 +71,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_embeddings": """
-            WITH RECURSIVE v AS (
-                SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-                WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
-            r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-            c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-            SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-            FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN c ON c.a = e.vec_id""",
-        "op9_warc": """
-            WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
-            q AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS lead FROM p)
-            SELECT page_id, n AS payload_bytes, d AS payload_digest,
-                   CASE WHEN n >= 1000 AND page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
-                   CASE WHEN n >= 1000 AND page_id <> lead THEN lead END AS refers_to
-            FROM q""",
+        "op1_embeddings": oracles.OP1,
+        "op5_substrings": oracles.OP5,
+        "op6_urls": oracles.op6(urls.RULES, urls.ORDER, urls.ALPHABET, urls.BINS, urls.DIGITS),
+        "op8_decontamination": oracles.OP8,
+        "op9_warc": oracles.OP9,
     }
