@@ -2,69 +2,23 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import session
+from ..session import cut, shared_dir
+
+__all__ = ["cut", "free_name", "remove", "scratch", "shared_dir", "ship", "widened"]
+
 #: Rows go to Python in batches of about so many bytes at most, however long their texts are.
 ARROW_BYTES = 16 << 20
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_shipped: set[str] = set()
-
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once an application.
-
-    Workers that get it by ``PYTHONPATH`` or ``--py-files`` as well load the same code.
-    """
-    sc = spark.sparkContext
+    """Make this package importable in Python workers, and bound the batches they get."""
     if spark.conf.get(_ARROW).rstrip("b") == "67108864":  # Spark's default; a value set by the user stays
         spark.conf.set(_ARROW, str(ARROW_BYTES))
-    if sc.applicationId in _shipped:
-        return
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if not os.path.isdir(here):  # it came as an archive that the workers have too
-        _shipped.add(sc.applicationId)
-        return
-    root, blob = os.path.dirname(here), io.BytesIO()
-    with zipfile.ZipFile(blob, "w") as z:
-        for folder, _, names in os.walk(here):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    path = os.path.join(tempfile.mkdtemp(), "geoloom_workers.zip")
-    with open(path, "wb") as f:
-        f.write(blob.getvalue())
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in tests) a local one is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else None
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute `df` now and cut its lineage by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    session.ship(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
