@@ -54,12 +54,15 @@ def fold_table(umlauts: dict[str, str]) -> dict[str, str]:
 
 def _normalise(text: Column, umlauts: dict[str, str]) -> Column:
     table = fold_table(umlauts)
+    folded = text
     for c, to in table.items():
         if len(to) > 1:
-            text = F.replace(text, F.lit(c), F.lit(to))
+            folded = F.replace(folded, F.lit(c), F.lit(to))
     single = {c: to for c, to in table.items() if len(to) == 1}
-    text = F.translate(text, "".join(single), "".join(single.values()))
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    folded = F.translate(folded, "".join(single), "".join(single.values()))
+    folded = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    # Plain ASCII, which has as many bytes as characters, needs no table.
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
 
 
 def normalize_din(text: Column) -> Column:
@@ -86,14 +89,14 @@ def expand_abbreviation(token: Column) -> Column:
 
 
 _PART = "\x01"
-_LONG = f"(?<![a-z0-9])([a-z0-9]{{3,}}?)({'|'.join(SUFFIXES)})(?![a-z0-9])"
+_LONG = rf"\b([a-z0-9]{{3,}}?)({'|'.join(SUFFIXES)})\b"
 
 
 def _split(text: Column) -> Column:
     """Suffixes of the words in `text` set off by _PART; a word is split once."""
     text = F.regexp_replace(text, _LONG, f"$1{_PART}$2")
     for short, full in SHORT_SUFFIXES.items():
-        text = F.regexp_replace(text, f"(?<![a-z0-9{_PART}])([a-z0-9]{{4,}}?){short}(?![a-z0-9{_PART}])", f"$1{_PART}{full}")
+        text = F.regexp_replace(text, rf"(?<!{_PART})\b([a-z0-9]{{4,}}?){short}\b(?!{_PART})", f"$1{_PART}{full}")
     return text
 
 
@@ -108,7 +111,7 @@ def tokenize(normalised: Column) -> Column:
     for full in dict.fromkeys(ABBREVIATIONS.values()):
         short = [k for k, v in ABBREVIATIONS.items() if v == full and k != full]
         if short:
-            text = F.regexp_replace(text, f"(?<![a-z0-9])({'|'.join(short)})(?![a-z0-9])", full)
+            text = F.regexp_replace(text, rf"\b({'|'.join(short)})\b", full)
     return F.filter(F.split(_split(text), f"[ {_PART}]"), lambda t: t != "")
 
 

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut
 
-CELL = 500_000
+#: Cell sizes to choose from, and how many cells a polygon may take on average.
+SIZES = tuple(50_000 << i for i in range(12))
+CELLS_PER_POLYGON = 32
 BROADCAST_BYTES = 64 << 20
 
 
@@ -36,7 +39,7 @@ def _cell(x: Column, size: int) -> Column:
     return F.floor(x / F.lit(size)).cast("int")
 
 
-def index(polys: DataFrame, *fields: str, size: int = CELL) -> DataFrame:
+def index(polys: DataFrame, *fields: str, size: int) -> DataFrame:
     """(cy, cx, polys): for each grid cell the polygons that cover some of it.
 
     fields: columns of `polys` that hits shall carry besides node_id, level and bounding box.
@@ -57,17 +60,23 @@ def index(polys: DataFrame, *fields: str, size: int = CELL) -> DataFrame:
     return rows.groupBy("cy", "cx").agg(F.collect_list(item).alias("polys"))
 
 
-def index_bytes(polys: DataFrame, size: int = CELL) -> int:
-    """An upper bound of index()'s size."""
-    high = (_cell(F.col("max_lat"), size) - _cell(F.col("min_lat"), size) + 1).cast("long")
-    wide = (_cell(F.col("max_lon"), size) - _cell(F.col("min_lon"), size) + 1).cast("long")
-    return polys.agg(F.sum(high * wide * 160 + F.size("edges") * wide * 64)).first()[0] or 0
+def cell_size(polys: DataFrame) -> tuple[int, int]:
+    """The smallest cell size that keeps the index in proportion, and an upper bound of its bytes."""
+    each = []
+    for size in SIZES:
+        high, wide = ((_cell(F.col(f"max_{c}"), size) - _cell(F.col(f"min_{c}"), size) + 1).cast("long") for c in ("lat", "lon"))
+        each += [F.sum(high * wide).alias(f"n{size}"), F.sum(high * wide * 160 + F.size("edges") * wide * 64).alias(f"b{size}")]
+    row = polys.agg(F.count("*").alias("n"), *each).first()
+    most = max(4_096, CELLS_PER_POLYGON * row["n"])
+    size = next((s for s in SIZES if (row[f"n{s}"] or 0) <= most), SIZES[-1])
+    return size, row[f"b{size}"] or 0
 
 
-def with_hits(points: DataFrame, polys: DataFrame, *fields: str, size: int = CELL, test=geo.inside, lat: str = "lat_e7", lon: str = "lon_e7") -> DataFrame:
+def with_hits(points: DataFrame, polys: DataFrame, *fields: str, test=geo.inside, lat: str = "lat_e7", lon: str = "lon_e7") -> DataFrame:
     """`points` with hits: the polygons that contain each, ordered by level and node_id."""
+    size, most = cell_size(polys)
     built = index(polys, *fields, size=size)
-    if index_bytes(polys, size) <= BROADCAST_BYTES:
+    if most <= BROADCAST_BYTES:
         built = F.broadcast(built)
     rows = points.withColumns({"cy": _cell(F.col(lat), size), "cx": _cell(F.col(lon), size)}).join(built, ["cy", "cx"], "left")
     y, x = (F.col(lat), F.col(lon)) if test is geo.inside else (geo.from_e7(F.col(lat)), geo.from_e7(F.col(lon)))
@@ -94,14 +103,15 @@ def smallest(hits: Column, level: int, by: str = "area2") -> Column:
     return F.array_min(F.transform(some, key))["hit"]
 
 
-def hierarchy(polys: DataFrame, *, size: int = CELL) -> DataFrame:
+def hierarchy(polys: DataFrame) -> DataFrame:
     """`polys` with parent_id: of the areas of a lower level that contain the first vertex,
     the one of highest level, then least area, then least node_id."""
     reps = polys.withColumns({"rep_lat": F.col("ring")[0]["lat"], "rep_lon": F.col("ring")[0]["lon"]})
-    found = with_hits(reps, polys, "area2", size=size, lat="rep_lat", lon="rep_lon")
+    found = with_hits(reps, polys, "area2", lat="rep_lat", lon="rep_lon")
     key = lambda h: F.struct((-h["level"]).alias("l"), h["area2"].alias("a"), h["node_id"].alias("node_id"))
     above = F.filter("hits", lambda h: h["level"] < F.col("level"))
-    return found.withColumn("parent_id", F.array_min(F.transform(above, key))["node_id"]).drop("hits")
+    # The tree is small beside the points and read several times: it is kept in the shared folder.
+    return cut(found.withColumn("parent_id", F.array_min(F.transform(above, key))["node_id"]).drop("hits"))
 
 
 def hierarchy_stats(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,14 +135,14 @@ def chain(hits: Column) -> Column:
 TIER_NAMES = ("country", "state", "city", "suburb")
 
 
-def attach_admin(points: DataFrame, nodes: DataFrame, *, size: int = CELL) -> DataFrame:
+def attach_admin(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """`points` with country, state, city and suburb filled from the areas that contain them.
 
     The chain fills what is empty, except that its deepest named suburb replaces any; then
     the smallest area at levels 2, 4, 8 and, for suburbs, 10, 9, 11 fills what is still empty.
     Adds was_<tier> (present before) and chain (node_ids).
     """
-    rows = with_hits(points, nodes, "parent_id", "tier", "name", "area2", size=size)
+    rows = with_hits(points, nodes, "parent_id", "tier", "name", "area2")
     rows = rows.withColumn("_chain", chain(F.col("hits")))
     rows = rows.withColumns({f"was_{t}": F.col(t).isNotNull() for t in TIER_NAMES})
     named = lambda t: F.filter("_chain", lambda h: (h["tier"] == t) & h["name"].isNotNull())
@@ -156,12 +166,13 @@ def attach_stats(attached: DataFrame) -> DataFrame:
     return attached.agg(F.count("*").alias("points"), *new, any_)
 
 
-def intersections(polys: DataFrame, *, size: int = CELL) -> DataFrame:
+def intersections(polys: DataFrame) -> DataFrame:
     """(a, b): polygons of one level, a < b, some edges of which properly cross.
 
     Edges meet by grid cell, so that rings of any length cost their edges only; shared
     borders, touching and collinear overlap are no crossing.
     """
+    size, _ = cell_size(polys)
     nxt = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     edge = polys.select("node_id", "level", F.explode(F.arrays_zip(F.col("ring").alias("p"), nxt.alias("q"))).alias("e"))
     edge = edge.select("node_id", "level", *[F.col(f"e.{v}.{c}").cast("long").alias(f"{v}{c}") for v in "pq" for c in ("lat", "lon")])
