@@ -151,7 +151,7 @@ class _Lattice:
         start, end, piece, log = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (start, end, piece, log))
         # Edges by offset of their end in the string, then by end: a level needs only earlier ones.
         level = end - np.repeat(self.base, lens + 1)[end]
-        order = np.argsort(level * total + end)
+        order = np.argsort(level * total + end, kind="stable")
         start, end, self.piece, log, level = start[order], end[order], piece[order].astype(np.int32), log[order], level[order]
         self.start = start
         forward = np.full(total, -np.inf)
@@ -159,26 +159,28 @@ class _Lattice:
         first = np.flatnonzero(np.diff(end, prepend=-1))
         self.first = np.zeros(total, np.int64)
         self.first[end[first]] = first  # of the edges into a node
-        self.cum = np.ones(len(end))
         bounds = np.searchsorted(level[first], np.arange(1, (int(lens.max()) if len(lens) else 0) + 2))
         stops = np.append(first, len(end))
+        # Sums are taken edge by edge within each node: no other string may move a draw by rounding.
         for a, z in zip(bounds, bounds[1:], strict=False):
             if a == z:
                 continue
             e0, e1 = stops[a], stops[z]
             v = forward[start[e0:e1]] + log[e0:e1]
             group = first[a:z] - e0
-            n = np.diff(stops[a : z + 1])
             top = np.maximum.reduceat(v, group)
-            w = np.exp(v - np.repeat(np.where(np.isfinite(top), top, 0.0), n))
-            run = np.cumsum(w)
-            before = np.concatenate([[0.0], run])[group]
-            sums = run[group + n - 1] - before
-            with np.errstate(divide="ignore", invalid="ignore"):
-                forward[end[first[a:z]]] = top + np.log(sums)
-                c = (run - np.repeat(before, n)) / np.repeat(sums, n)
-            c[group + n - 1] = 2.0  # the last edge takes the rest
-            self.cum[e0:e1] = c
+            w = np.exp(v - np.repeat(np.where(np.isfinite(top), top, 0.0), np.diff(stops[a : z + 1])))
+            with np.errstate(divide="ignore"):
+                forward[end[first[a:z]]] = top + np.log(np.add.reduceat(w, group))
+        with np.errstate(invalid="ignore"):
+            share = np.exp(forward[start] + log - forward[end])
+        self.cum = np.empty(len(end))
+        node, degree, total_share, k = first, np.diff(stops), np.zeros(len(first)), 0
+        while len(node):
+            total_share = total_share + share[node + k]
+            self.cum[node + k] = np.where(degree == k + 1, 2.0, total_share)  # the last edge takes the rest
+            more = degree > k + 1
+            node, degree, total_share, k = node[more], degree[more], total_share[more], k + 1
 
     def sample(self, which: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, how many for each) of a path of lattice which[i], drawn from seed[i]."""
