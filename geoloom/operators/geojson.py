@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut
 from . import textsearch
 
 
@@ -53,6 +54,7 @@ def admins(df: DataFrame) -> DataFrame:
 
 def search(results: DataFrame, pts: DataFrame, lns: DataFrame, adms: DataFrame) -> DataFrame:
     """Features of search results: query_id, rank, feature."""
+    results = cut(results)  # read once for each kind
     tail = F.concat(F.format_string(',"score":%.2f,"matched":%d', F.col("score"), F.col("matched")), _field("reason", F.col("reason")), F.lit(""))
     head = lambda k: F.concat(F.lit(f'"kind":"{k}","id":'), F.col("id"))
     fields = lambda *names: [_field(c, F.col(c)) for c in names]
@@ -67,7 +69,7 @@ def search(results: DataFrame, pts: DataFrame, lns: DataFrame, adms: DataFrame)
 def reverse(found: DataFrame, pts: DataFrame, adms: DataFrame) -> DataFrame:
     """Features of reverse_geocode(): query_id, feature (null where nothing was found)."""
     tiers = F.concat(*[F.concat(F.lit(f',"{t}":'), quoted(F.coalesce(F.col(f"f.{t}"), F.lit("")))) for t in ("country", "state", "city", "suburb")])
-    f = found.alias("f")
+    f = cut(found).alias("f")  # read once for each kind
     head = lambda level: F.concat(F.lit('"object_kind":"'), F.col("f.object_kind"), F.lit('","id":'), F.col("f.id"), F.lit(',"admin_level":'), level)
     house = F.concat(head(F.lit("null")), F.format_string(',"distance_m":%.2f', F.col("f.distance_m")), *[_field(c, F.col(f"p.{c}")) for c in ("name", "type", "street", "housenumber", "postcode")], tiers)
     a = f.where("f.kind = 'point'").join(pts.alias("p"), F.col("f.id") == F.col("p.id")).select("f.query_id", _feature("Point", _pair(F.col("p.lat_e7"), F.col("p.lon_e7")), house).alias("feature"))

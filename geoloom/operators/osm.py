@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,10 +113,11 @@ def stitch(segments: Column) -> Column:
 
     ship()
 
-    @F.pandas_udf(COORDS)
-    def ring(rows: pd.Series) -> pd.Series:
-        of = lambda segs: _stitch([[(c["lat"], c["lon"]) for c in s] for s in segs])
-        return rows.map(lambda segs: [{"lat": a, "lon": b} for a, b in of(segs)])
+    @F.arrow_udf(COORDS)
+    def ring(rows: pa.Array) -> pa.Array:
+        out = [_stitch([[(c["lat"], c["lon"]) for c in s or []] for s in segs or []]) for segs in rows.to_pylist()]
+        kind = pa.list_(pa.struct([("lat", pa.int32()), ("lon", pa.int32())]))
+        return pa.array([[{"lat": a, "lon": b} for a, b in r] for r in out], kind)
 
     return ring(segments)
 

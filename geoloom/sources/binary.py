@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import geo
 from ..session import ship
@@ -91,12 +94,9 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     ship(spark)
     plain = {"points": "id long, lat_e7 int, lon_e7 int, " + ", ".join(f"{c} string" for c in tables.FIELDS), "lines": f"id long, name string, type string, ref string, coords {tables.COORDS}", "admins": f"id long, name string, ring {tables.COORDS}, admin_level short"}[kind]
 
-    def run(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
+    schema = to_arrow_schema(StructType.fromDDL(plain))
 
-        schema = to_arrow_schema(StructType.fromDDL(plain))
+    def run(batches):
         for b in batches:
             for content in b.column(0):
                 rows = decode(kind, content.as_py())
