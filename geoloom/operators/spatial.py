@@ -206,7 +206,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, *, carry: tuple[s
     high, wide = ((extent[f"hi_{c}"] - extent[f"lo_{c}"]) / 1e7 for c in ("lat_e7", "lon_e7"))
     size = max(1e-4, (max(high, 1e-4) * max(wide, 1e-4) * 2 * k / extent["n"]) ** 0.5)
     p = points.select("id", (F.col("lat_e7") / F.lit(1e7)).alias("plat"), (F.col("lon_e7") / F.lit(1e7)).alias("plon"), *carry)
-    open_, done = queries.select("query_id", "lat", "lon"), None
+    open_, done, most = queries.select("query_id", "lat", "lon"), None, min(k, extent["n"])
     best = Window.partitionBy("query_id").orderBy("distance_m", "id")
     while True:
         last = size >= 360
@@ -216,16 +216,17 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, *, carry: tuple[s
         found = around.join(p.withColumns({"cy": cell(F.col("plat")), "cx": cell(F.col("plon"))}), ["cy", "cx"])
         found = found.withColumn("distance_m", geo.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        if last:
+        if last:  # every point is in the nine cells
             final = found.select("query_id", "rank", "id", "distance_m", *carry)
             return final if done is None else done.unionByName(final)
         # No point outside the nine cells is nearer than one cell's height, or than the meridian one cell away.
         safe = F.least(F.radians(F.lit(size)), F.asin(F.sin(F.radians(F.lit(min(size, 90.0)))) * F.cos(F.radians("qlat")))) * geo.RADIUS
+        found = cut(found)  # each round reads the one before from the shared folder
         full = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance_m").alias("far"), F.first("lat").alias("qlat"))
-        sure = full.where((F.col("n") == k) & (F.col("far") < safe)).select("query_id")
+        sure = cut(full.where((F.col("n") == most) & (F.col("far") < safe)).select("query_id"))
         step = found.join(sure, "query_id", "left_semi").select("query_id", "rank", "id", "distance_m", *carry)
         done = step if done is None else done.unionByName(step)
-        open_ = open_.join(sure, "query_id", "left_anti")
+        open_ = cut(open_.join(sure, "query_id", "left_anti"))
         size *= 4
         if open_.isEmpty():
             return done
