@@ -10,7 +10,7 @@ from ..session import cut, shared_dir
 __all__ = ["cut", "free_name", "remove", "scratch", "shared_dir", "ship", "widened"]
 
 #: Rows go to Python in batches of about so many bytes at most, however long their texts are.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._env import cut, ship
 
 DICT_MAGIC, EMPTY = 0x184D2A5D, b"P*M\x18\x00\x00\x00\x00"
@@ -149,16 +150,14 @@ def _writer(dictionary: bytes, level: int):
         packer = zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=True)
         fresh = True
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            out, held = ([skippable(dictionary)] if fresh and b.num_rows else []), 0
-            fresh = fresh and not b.num_rows
-            for page, uri, html, digest, size, kind, to in zip(*columns, strict=True):
-                out.append(packer.compress(record(kind, uri or "", page, digest, (html or "").encode(), size, to)))
-                held += len(out[-1])
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
-                    out, held = [], 0
-            if out:
+            names, html = b.schema.names, b.schema.names.index("html")
+            for at, end, data, rows in W.chunks(b.column(html), 1_000_000):
+                raw, part = data.tobytes(), b.slice(at, end - at)
+                page, uri, digest, size, kind, to = (part.column(names.index(c)).to_pylist() for c in ("page_id", "url", "digest", "size", "kind", "refers_to"))
+                out = [skippable(dictionary)] if fresh else []
+                fresh = False
+                for i in range(end - at):
+                    out.append(packer.compress(record(kind[i], uri[i] or "", page[i], digest[i], raw[rows[i] : rows[i + 1]], size[i], to[i])))
                 yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
     return run
@@ -214,7 +213,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     held += len(raw)
                     r["payload"] = None if r["payload"] is None else r["payload"].decode()
                     out.append(r)
-                    if held > 4 << 20:
+                    if held > 1 << 20:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, held = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema)
