@@ -338,6 +338,21 @@ def sql() -> dict[str, str]:
     out["poly_intersections"] = f"WITH {ADMINS}, {POLYS} {pairs}"
     out["hierarchy_stats"] = f"""WITH RECURSIVE {ADMINS}, {POLYS}, {PARENTS}, up_to AS (SELECT node_id, parent_id, 1 AS depth FROM nodes UNION ALL SELECT u.node_id, n.parent_id, depth + 1 FROM up_to u JOIN nodes n ON n.node_id = u.parent_id)
         SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE parent_id IS NULL) AS roots, (SELECT max(depth) FROM up_to)::BIGINT AS max_depth, (SELECT count(*) FROM ({pairs})) AS pairs"""
+    head = lambda kind: f"'\"kind\":\"{kind}\",\"id\":' || o.id || "
+    tail = "printf(',\"score\":%.2f,\"matched\":%d', score, matched) || " + _field("reason", "reason")
+    some = lambda *names: " || ".join(_field(n, f"o.{n}") for n in names) + " || "
+    ring = "'[' || " + _path("o.ring") + " || ']'"
+    out["geojson_search"] = f"""WITH {SEARCH}
+        SELECT query_id, rank, {_feature("Point", _xy("o.lat_e7", "o.lon_e7"), head("poi") + some("name", "type", "street", "housenumber", "city", "state", "country") + tail)} AS feature FROM found f JOIN points o ON o.id = f.id WHERE kind = 0
+        UNION ALL SELECT query_id, rank, {_feature("LineString", _path("o.coords"), head("street") + some("name", "type") + tail)} FROM found f JOIN lines o ON o.id = f.id WHERE kind = 1
+        UNION ALL SELECT query_id, rank, {_feature("Polygon", ring, head("admin") + "',\"admin_level\":' || o.admin_level || " + some("name") + tail)} FROM found f JOIN admins o ON o.id = f.id WHERE kind = 2"""
+    tiers = " || ".join(f"',\"{t}\":' || to_json(coalesce(f.{t}, ''))" for t in ("country", "state", "city", "suburb"))
+    house = "'\"object_kind\":\"house\",\"id\":' || f.id || ',\"admin_level\":null' || printf(',\"distance_m\":%.2f', f.distance_m) || " + some("name", "type", "street", "housenumber", "postcode") + tiers
+    area = "'\"object_kind\":\"' || f.object_kind || '\",\"id\":' || f.id || ',\"admin_level\":' || f.admin_level || ',\"name\":' || to_json(coalesce(f.name, '')) || " + tiers
+    out["geojson_reverse"] = f"""WITH far AS ({_reverse(16)}), near AS ({_reverse(11)}), {ADMINS}, {POINTS},
+        f AS (SELECT * FROM far WHERE query_id % 2 = 0 UNION ALL SELECT * FROM near WHERE query_id % 2 = 1)
+        SELECT f.query_id, {_feature("Point", _xy("o.lat_e7", "o.lon_e7"), house)} AS feature FROM f JOIN points o ON o.id = f.id WHERE f.kind = 'point'
+        UNION ALL SELECT f.query_id, {_feature("Polygon", ring, area)} FROM f JOIN admins o ON o.id = f.id WHERE f.kind = 'area' UNION ALL SELECT query_id, NULL FROM f WHERE kind IS NULL"""
     out |= {name: _reverse(zoom) for name, zoom in C.REVERSE_ZOOMS.items()}
     return out
 

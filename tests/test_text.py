@@ -10,7 +10,7 @@ from geoloom.functions import text
 DIN = {
     "Düsseldorf": "duesseldorf", "DUSSELDORF": "dusseldorf", "düsseldorf": "duesseldorf", "Duesseldorf": "duesseldorf", "München": "muenchen", "Würzburg": "wuerzburg", "Köln": "koeln",
     "Straße": "strasse", "Aßlar": "asslar", "Zürich": "zuerich", "Genève": "geneve", "Español": "espanol", "Poznań": "poznan", "Košice": "kosice", "Aalen": "aalen", "Hauptstrasse": "hauptstrasse",
-    "Hauptstraße 10": "hauptstrasse 10", "a–b": "ab", "a b": "ab", "ü": "u", "×": "", "Œuvre": "oeuvre", "Þór": "thor", "ẞ": "", "K": "", "İ": "i",
+    "Hauptstraße 10": "hauptstrasse 10", "a–b": "ab", "a b": "ab", "ü": "u", "×": "", "Œuvre": "oeuvre", "Þór": "thor", "ẞ": "", "\u212a": "", "İ": "i",
 }
 STRIP = {"Düsseldorf": "dusseldorf", "München": "munchen", "Straße": "strase", "Aßlar": "aslar"}
 TOKENS = {
