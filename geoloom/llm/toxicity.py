@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._env import free_name, ship, widened
+from ._env import cut, free_name, ship, widened
 
 BITS = 20
 SIZES = (3, 4, 5)
@@ -180,29 +180,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_featu
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # at most max_rows pairs of numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "_y")
-    found = rows.mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    size = found.where("feature < 0").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = cut(rows.mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    size = found.where("feature < 0").first()
+    np_, nn_ = (size["pos"], size["neg"]) if size else (0, 0)
     # Likelihood-ratio statistic of "has the n-gram" against the class; sums over the corpus stay in Spark.
-    a, b, p, n = (F.col(c).cast("double") for c in ("pos", "neg", "np", "nn"))
-    part = lambda x, of, among: F.when(x > 0, x * F.log(x / (of * among / (F.col("np") + F.col("nn"))))).otherwise(0.0)
+    a, b, p, n = F.col("pos").cast("double"), F.col("neg").cast("double"), F.lit(float(np_)), F.lit(float(nn_))
+    part = lambda x, of, among: F.when(x > 0, x * F.log(x / (of * among / (p + n)))).otherwise(0.0)
     g2 = part(a, p, a + b) + part(b, n, a + b) + part(p - a, p, p + n - a - b) + part(n - b, n, p + n - a - b)
-    top = (
-        found.where("feature >= 0 and pos + neg >= 3")
-        .crossJoin(F.broadcast(size.select(F.col("pos").alias("np"), F.col("neg").alias("nn"))))  # one row
-        .where("np > 0 and nn > 0")
-        .withColumn("g2", g2)
-        .orderBy(F.desc("g2"), "feature")
-        .limit(max_features)
-        .select("feature", "pos", "neg", "np", "nn")
-        .collect()
-    )
+    top = []
+    if np_ and nn_:
+        top = found.where("feature >= 0 and pos + neg >= 3").withColumn("g2", g2).orderBy(F.desc("g2"), "feature").limit(max_features).select("feature", "pos", "neg").collect()
     if not top:
-        s = size.first()
-        pos, neg = (s["pos"] or 0), (s["neg"] or 0)
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log((np_ + 0.5) / (nn_ + 0.5))))
     top.sort(key=lambda r: r["feature"])
     features = np.array([r["feature"] for r in top], np.int64)
-    np_, nn_ = top[0]["np"], top[0]["nn"]
     ratio = np.log((np.array([r["pos"] for r in top]) + _ALPHA) / (np_ + 2 * _ALPHA)) - np.log((np.array([r["neg"] for r in top]) + _ALPHA) / (nn_ + 2 * _ALPHA))
     got = rows.mapInArrow(_design(features), "y int, x array<int>").toArrow()
     x = got.column("x").combine_chunks()
