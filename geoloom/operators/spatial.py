@@ -18,8 +18,8 @@ from ..functions import geo
 from ..session import cut
 
 #: Cell sizes to choose from, and how many cells a polygon may take on average.
-SIZES = tuple(50_000 << i for i in range(12))
-CELLS_PER_POLYGON = 32
+SIZES = tuple(50_000 << i for i in range(11))
+CELLS_PER_POLYGON = 64
 BROADCAST_BYTES = 64 << 20
 
 
@@ -106,6 +106,7 @@ def smallest(hits: Column, level: int, by: str = "area2") -> Column:
 def hierarchy(polys: DataFrame) -> DataFrame:
     """`polys` with parent_id: of the areas of a lower level that contain the first vertex,
     the one of highest level, then least area, then least node_id."""
+    polys = cut(polys)  # few beside the points, and read several times
     reps = polys.withColumns({"rep_lat": F.col("ring")[0]["lat"], "rep_lon": F.col("ring")[0]["lon"]})
     found = with_hits(reps, polys, "area2", lat="rep_lat", lon="rep_lon")
     key = lambda h: F.struct((-h["level"]).alias("l"), h["area2"].alias("a"), h["node_id"].alias("node_id"))

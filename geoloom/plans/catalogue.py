@@ -101,18 +101,12 @@ def index_stats(spark, d):
 
 def _asked(spark, d):
     """Names of parts, streets with numbers, nations and the phrases."""
-    part = table(spark, d, "part").select((F.xxhash64("p_name") * 0 + F.min("p_partkey").over(_by("p_name")) + 1_000_000).alias("query_id"), F.col("p_name").alias("q")).distinct()
+    part = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k")).select((F.col("k") + 1_000_000).alias("query_id"), F.col("p_name").alias("q"))
     line = lines(spark, d).select((F.col("id") + 2_000_000).alias("query_id"), F.concat("name", F.lit(" "), (F.col("id") % 50 + 1).cast("string")).alias("q"))
     nation = table(spark, d, "nation").select((F.col("n_nationkey") + 3_000_000).cast("long").alias("query_id"), F.col("n_name").alias("q"))
     return _phrases(spark).unionByName(part).unionByName(line).unionByName(nation)
 
 
-def _by(*names):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
-
-
 def and_query(spark, d):
     asked = textsearch.prepare(_asked(spark, d)).where(F.size("words") > 0)
     return textsearch.query_all(asked, _objects(spark, d), "query_id").groupBy("query_id", "kind").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
