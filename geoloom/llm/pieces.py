@@ -24,7 +24,7 @@ from ._env import free_name, ship, widened
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose parts share lattices.
-_CHUNK = 3_000_000
+_CHUNK = 750_000
 #: Log weight of a byte piece.
 _BYTE = -16.0
 
@@ -68,14 +68,23 @@ class Pieces:
             if ids[node] < 0:
                 ids[node], logs[node] = i, -float(np.log(rank + 10))
         self.piece, self.log = np.array(ids, np.int32), np.array(logs)
-        self._hash({k[0] * 256 + k[1]: v for k, v in children.items()})
+        # The first two bytes are looked up directly, further ones in a hash table.
+        self.one, self.two = np.zeros(256, np.int32), np.zeros(65_536, np.int32)
+        for (node, c), to in children.items():
+            if not node:
+                self.one[c] = to
+        at = {int(v): c for c, v in enumerate(self.one) if v}
+        for (node, c), to in children.items():
+            if node in at:
+                self.two[at[node] * 256 + c] = to
+        self._hash({k[0] * 256 + k[1]: v for k, v in children.items() if k[0] and k[0] not in at})
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(x) for x in self.bytes])])
 
     def _hash(self, edges: dict[int, int]) -> None:
         """An open-addressing table of the trie's edges, filled in rounds of one probe each."""
         keys, to = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32)
-        self.bits = int(np.ceil(np.log2(len(keys) * 4)))
+        self.bits = int(np.ceil(np.log2(len(keys) * 4 + 2)))
         self.keys, self.to, self.probes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), 0
         while len(keys):
             slot = self._slot(keys, self.probes)
@@ -89,7 +98,7 @@ class Pieces:
             self.probes += 1
 
     def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
-        x = W.mix(key.astype(np.uint64) + np.uint64((probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        x = (key.astype(np.uint64) + np.uint64(probe * 0x51_7C_C1)) * np.uint64(0x9E3779B97F4A7C15)
         return (x >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -109,78 +118,90 @@ class Pieces:
 
 
 class _Lattice:
-    """Lattices of byte strings data[lo:hi]; node x of string i is number base[i] + x."""
+    """Lattices of byte strings data[lo:hi].
+
+    Nodes are numbered by level: string i, in the order of falling lengths, has its node after
+    j bytes at level[j] + rank[i]. So the edges into the nodes of a level are consecutive.
+    """
 
     def __init__(self, p: Pieces, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, alpha: float):
         lens = hi - lo
-        base = np.concatenate([[0], np.cumsum(lens + 1)])
-        self.base, self.last = base[:-1], base[1:] - 1
-        total = int(base[-1])
-        body = np.zeros(total, np.uint8)
-        src = np.arange(int(lens.sum())) + np.repeat(lo - (np.cumsum(lens) - lens), lens)
-        where = np.arange(int(lens.sum())) + np.repeat(np.arange(len(lens)), lens)
-        body[where] = data[src]
-        stop = np.repeat(self.last, lens + 1)
-        start, end, piece, log = [], [], [], []
-        at, node, depth = where, np.zeros(len(where), np.int32), 0
-        covered = np.zeros(total, bool)  # bytes where a single character has a piece
-        size = 1 + (body >= 0xC0) + (body >= 0xE0) + (body >= 0xF0)
-        while len(at):
-            node = p.child(node, body[at + depth])
-            depth += 1
-            fit = node > 0
+        order = np.argsort(-lens, kind="stable")
+        rank = np.empty(len(lens), np.int64)
+        rank[order] = np.arange(len(lens))
+        lo, lens = lo[order], lens[order]
+        most = int(lens[0]) if len(lens) else 0
+        reach = len(lens) - np.searchsorted(lens[::-1], np.arange(most + 1))  # strings of j bytes and more
+        level = np.concatenate([[0], np.cumsum(reach)])
+        self.base, self.last = rank, (level[lens] + np.arange(len(lens)))[rank]
+        # Every byte, level by level: its string, its offset there and its place in data.
+        offset = np.repeat(np.arange(most), reach[1:])
+        string = np.arange(len(offset)) - np.repeat(np.cumsum(reach[1:]) - reach[1:], reach[1:])
+        place = lo[string] + offset
+        byte = data[place]
+        left = lens[string] - offset
+        size = 1 + (byte >= 0xC0) + (byte >= 0xE0) + (byte >= 0xF0)
+        covered = np.zeros(len(byte), bool)  # bytes where a single character has a piece
+        runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        at, node, depth = np.arange(len(byte)), p.one[byte], 1
+        while True:
+            fit = np.flatnonzero(node)
             at, node = at[fit], node[fit]
-            ends = p.piece[node] >= 0
-            x = at[ends]
-            start.append(x)
-            end.append(x + depth)
-            piece.append(p.piece[node[ends]])
-            log.append(alpha * p.log[node[ends]])
-            covered[x[size[x] == depth]] = True
-            more = at + depth < stop[at]
+            ends = np.flatnonzero(p.piece[node] >= 0)
+            x, piece = at[ends], node[ends]
+            runs.append((level[offset[x]] + string[x], level[offset[x] + depth] + string[x], p.piece[piece], alpha * p.log[piece]))
+            if depth <= 4:
+                covered[x[size[x] == depth]] = True
+            more = np.flatnonzero(left[at] > depth)
             at, node = at[more], node[more]
-        lead = where[(body[where] & 0xC0) != 0x80]
-        lone = lead[~covered[lead]]
-        if len(lone):
-            n = np.minimum(size[lone], stop[lone] - lone)
-            x = np.repeat(lone, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start.append(x)
-            end.append(x + 1)
-            piece.append(p.byte[body[x]].astype(np.int32))
-            log.append(np.full(len(x), alpha * _BYTE))
-        start, end, piece, log = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (start, end, piece, log))
-        # Edges by offset of their end in the string, then by end: a level needs only earlier ones.
-        level = end - np.repeat(self.base, lens + 1)[end]
-        order = np.argsort(level * total + end, kind="stable")
-        start, end, self.piece, log, level = start[order], end[order], piece[order].astype(np.int32), log[order], level[order]
-        self.start = start
-        forward = np.full(total, -np.inf)
-        forward[self.base] = 0.0
-        first = np.flatnonzero(np.diff(end, prepend=-1))
-        self.first = np.zeros(total, np.int64)
-        self.first[end[first]] = first  # of the edges into a node
-        bounds = np.searchsorted(level[first], np.arange(1, (int(lens.max()) if len(lens) else 0) + 2))
-        stops = np.append(first, len(end))
+            if not len(at):
+                break
+            nxt = data[place[at] + depth]
+            node = p.two[byte[at].astype(np.int64) * 256 + nxt] if depth == 1 else p.child(node, nxt)
+            depth += 1
+        lone = np.flatnonzero(((byte & 0xC0) != 0x80) & ~covered)
+        for k in range(4 if len(lone) else 0):
+            x = lone[(size[lone] > k) & (left[lone] > k)]
+            start = level[offset[x] + k] + string[x]
+            runs.append((start, level[offset[x] + k + 1] + string[x], p.byte[data[place[x] + k]].astype(np.int32), np.full(len(x), alpha * _BYTE)))
+        # Edges by their end; no run has an end twice, so each takes the next free place of its node.
+        total = int(level[-1])
+        degree = np.zeros(total, np.int64)
+        for _, end, _, _ in runs:
+            degree[end] += 1
+        self.first = np.cumsum(degree) - degree
+        free, n = self.first.copy(), int(degree.sum())
+        self.start, self.piece, log = np.empty(n, np.int64), np.empty(n, np.int32), np.empty(n)
+        for start, end, piece, weight in runs:
+            put = free[end]
+            free[end] += 1
+            self.start[put], self.piece[put], log[put] = start, piece, weight
+        del runs, free
         # Sums are taken edge by edge within each node: no other string may move a draw by rounding.
-        for a, z in zip(bounds, bounds[1:], strict=False):
-            if a == z:
+        forward = np.full(total, -np.inf)
+        forward[: reach[0] if len(reach) else 0] = 0.0
+        for j in range(1, most + 1):
+            a, z = level[j], level[j + 1]
+            some = np.flatnonzero(degree[a:z]) + a
+            if not len(some):
                 continue
-            e0, e1 = stops[a], stops[z]
-            v = forward[start[e0:e1]] + log[e0:e1]
-            group = first[a:z] - e0
+            e0, e1 = self.first[some[0]], self.first[some[-1]] + degree[some[-1]]
+            v = forward[self.start[e0:e1]] + log[e0:e1]
+            group = self.first[some] - e0
             top = np.maximum.reduceat(v, group)
-            w = np.exp(v - np.repeat(np.where(np.isfinite(top), top, 0.0), np.diff(stops[a : z + 1])))
+            w = np.exp(v - np.repeat(np.where(np.isfinite(top), top, 0.0), degree[some]))
             with np.errstate(divide="ignore"):
-                forward[end[first[a:z]]] = top + np.log(np.add.reduceat(w, group))
-        with np.errstate(invalid="ignore"):
-            share = np.exp(forward[start] + log - forward[end])
-        self.cum = np.empty(len(end))
-        node, degree, total_share, k = first, np.diff(stops), np.zeros(len(first)), 0
+                forward[some] = top + np.log(np.add.reduceat(w, group))
+        self.cum = np.full(n, 2.0)  # the last edge of a node takes the rest
+        node, k = np.flatnonzero(degree > 1), 0
+        summed = np.zeros(len(node))
         while len(node):
-            total_share = total_share + share[node + k]
-            self.cum[node + k] = np.where(degree == k + 1, 2.0, total_share)  # the last edge takes the rest
-            more = degree > k + 1
-            node, degree, total_share, k = node[more], degree[more], total_share[more], k + 1
+            e = self.first[node] + k
+            with np.errstate(invalid="ignore"):
+                summed = summed + np.exp(forward[self.start[e]] + log[e] - forward[node])
+            self.cum[e] = summed
+            more = degree[node] > k + 2
+            node, summed, k = node[more], summed[more], k + 1
 
     def sample(self, which: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, how many for each) of a path of lattice which[i], drawn from seed[i]."""
