@@ -25,6 +25,10 @@ from ._graph import components, forest
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
 
+#: Tables of so many rows of two numbers are broadcast, larger ones are joined by shuffles.
+BROADCAST_ROWS = 500_000
+
+
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
@@ -225,7 +229,13 @@ def links(distinct: DataFrame, *, radius: int = 2, shard_rows: int = 4_096) -> D
     # Shards with many questions get copies of their index, and each copy some of the questions.
     sizes = dealt.groupBy("shard").count().where(F.col("count") > 4 * shard_rows)
     sizes = sizes.select("shard", F.ceil(F.col("count") / (4 * shard_rows)).cast("int").alias("copies"))
-    dealt = dealt.join(F.broadcast(sizes), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    sizes = cut(sizes)
+    crowded = sizes.count()
+    if not crowded:
+        dealt = dealt.withColumn("copies", F.lit(1))
+    else:
+        sizes = F.broadcast(sizes) if crowded <= BROADCAST_ROWS else sizes
+        dealt = dealt.join(sizes, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     mine = F.pmod(F.xxhash64("f"), F.col("copies"))
     part = F.explode(F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("copies") - F.lit(1).cast("long"))).otherwise(F.array(mine)))
     dealt = dealt.select("shard", "f", "home", mine.alias("mine"), part.alias("part"))
@@ -354,4 +364,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows of a null doc_id stay. Rows that share a doc_id stay or go together.
     """
     gone = similar(docs, **how).where("doc_id != component_id").select(F.col("doc_id").alias(free_name("_gone", docs.columns)))
-    return docs.join(cut(gone), F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
+    gone = cut(gone)
+    few = gone.count() <= BROADCAST_ROWS  # else texts are shuffled by doc_id
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
