@@ -21,7 +21,7 @@ from ._env import free_name, ship, widened
 
 _WORD_BASE = 0xD6E8FEB86659FD93
 #: A task sends what it has hashed after so many windows.
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def _unique(h: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
