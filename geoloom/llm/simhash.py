@@ -264,52 +264,64 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2) -> Da
     return out.select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: Min-wise hashes in a sketch; three make the SimHash of a sample.
-SKETCH = 128
+#: Min-wise hashes whose shingles make the SimHash of a sample.
+_CHOSEN = 3
+
+
+def _shingles(data: np.ndarray, rows: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each row, ascending and each once, and the rows' offsets in them; a text of fewer words is one shingle."""
+    w = W.split(data, rows, "spaced", lower=True)
+    h, first, counts = w.hashes(), w.windows(shingle), w.counts
+    short = np.flatnonzero((counts > 0) & (counts < shingle))
+    starts = np.concatenate([first, w.first[short]])
+    x = W.runs_hash(h, starts, np.concatenate([first + shingle, w.first[short + 1]]))
+    row = np.searchsorted(w.first, starts, side="right") - 1
+    order = np.lexsort((x, row))
+    x, row = x[order], row[order]
+    once = np.ones(len(x), bool)
+    once[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    return x[once], np.searchsorted(row[once], np.arange(len(rows)))
 
 
 def _sketches(shingle: int, samples: int):
-    """Rows (doc_id, sketch, samples): low 16 bits of the least shingle hash by each of SKETCH functions, and fingerprints of samples."""
+    """Rows (doc_id, shingles, samples): the hashes of all shingles, and fingerprints of samples."""
 
     def run(batches):
         with np.errstate(over="ignore"):
-            factor = W.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+            factor = W.mix(np.arange(1, _CHOSEN * samples + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
         band = W.mix(np.arange(samples, dtype=np.uint64) + np.uint64(0x2545F491))
         for b in batches:
             for at, end, data, rows in W.chunks(b.column(1), 500_000):
-                w = W.split(data, rows, "spaced", lower=True)
-                h, first, counts = w.hashes(), w.windows(shingle), w.counts
-                short = np.flatnonzero((counts > 0) & (counts < shingle))
-                starts = np.concatenate([first, w.first[short]])
-                order = np.argsort(starts, kind="stable")
-                ends = np.concatenate([first + shingle, w.first[short + 1]])[order]
-                x = W.runs_hash(h, starts[order], ends)
-                begins = np.searchsorted(starts[order], w.first[:-1][counts > 0])
-                least = np.full((end - at, SKETCH), 0xFFFFFFFF, np.uint32)
-                if len(x):
-                    some = np.flatnonzero(counts)
-                    for k in range(SKETCH):
+                x, begins = _shingles(data, rows, shingle)
+                least = np.full((end - at, len(factor)), 0xFFFFFFFF, np.uint32)
+                some = np.flatnonzero(np.diff(begins))
+                if len(some):
+                    for k in range(len(factor)):
                         with np.errstate(over="ignore"):
-                            least[some, k] = np.minimum.reduceat(((x * factor[k]) >> np.uint64(32)).astype(np.uint32), begins)
+                            least[some, k] = np.minimum.reduceat(((x * factor[k]) >> np.uint64(32)).astype(np.uint32), begins[some])
                 f = np.empty((end - at, samples), np.uint64)
                 for k in range(samples):
-                    p, q, r = (W.mix(least[:, 3 * k + i].astype(np.uint64) + (np.uint64(i + 1) << np.uint64(40))) for i in range(3))
+                    p, q, r = (W.mix(least[:, _CHOSEN * k + i].astype(np.uint64) + (np.uint64(i + 1) << np.uint64(40))) for i in range(_CHOSEN))
                     f[:, k] = ((p & q) | (p & r) | (q & r)) ^ band[k]
-                raw = least.astype(np.uint16).tobytes()
-                sketch = pa.Array.from_buffers(pa.binary(2 * SKETCH), end - at, [None, pa.py_buffer(raw)]).cast(pa.binary())
+                held = pa.Array.from_buffers(pa.large_binary(), end - at, [None, pa.py_buffer(8 * begins), pa.py_buffer(x)]).cast(pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1) * samples, pa.int32()), pa.array(f.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), sketch, lists], ["doc_id", "sketch", "samples"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), held, lists], ["doc_id", "shingles", "samples"])
 
     return run
 
 
 def _alike(similarity: float):
-    """Rows (a, b, sketch of a, sketch of b) to (a, b) of those whose sketches agree in that share at least."""
+    """Rows (a, b, shingles of a, shingles of b) to (a, b) of those that share that part of all their shingles at least."""
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SKETCH) for i in (2, 3))
-            fit = pa.array((x == y).mean(1) >= similarity)
+            fit = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = np.sort(np.concatenate([x, y]))
+                shared = int((both[1:] == both[:-1]).sum())
+                fit[i] = not len(both) or shared / (len(both) - shared) >= similarity
+            fit = pa.array(fit)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(fit), b.column(1).filter(fit)], ["a", "b"])
 
     return run
@@ -323,24 +335,23 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sampl
     shingles that min-wise hashes choose: two texts of similarity s have one in common with
     probability 1 - (1 - s**3) ** samples, 0.997 at 0.8. Vantage-point trees find the
     fingerprints within `radius` bits; within such a group the smallest doc_id is the leader,
-    and a text links to it if their min-wise sketches agree in `similarity` of 128 values.
-    Texts that don't link get another leader, `rounds` times (a group of texts that share no
-    more than a sample is met again by other samples). Sketches have a standard error of
-    0.035 at 0.8, which is granted, so that texts of just that similarity are rather linked. component_id: the smallest doc_id
-    over links. Rows of a null doc_id are left out.
+    and a text links to it if the sets of all their shingles have a Jaccard similarity of
+    `similarity` or more. Texts that don't link get another leader, `rounds` times (a group of
+    texts that share no more than a sample is met again by other samples). component_id: the
+    smallest doc_id over links. Rows of a null doc_id are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    sketches = cut(known.mapInArrow(_sketches(shingle, samples), "doc_id long, sketch binary, samples array<long>"))
+    sketches = cut(known.mapInArrow(_sketches(shingle, samples), "doc_id long, shingles binary, samples array<long>"))
     flat = sketches.select("doc_id", F.explode("samples").alias("f"))
     classes = cut(flat.groupBy("f").agg(F.count("*").alias("n")))
     comp = cut(components(links(classes.select("f"), radius=radius)))
     groups = classes.join(comp, F.col("f") == F.col("node"), "left").where("n > 1 or component is not null")
     groups = cut(groups.select(F.col("f").alias("f2"), F.coalesce("component", "f").alias("g")))
     members = cut(flat.join(groups, F.col("f") == F.col("f2")).select("g", "doc_id").distinct())
-    # One sketch for a doc_id that repeats: that of the row that sorts first.
-    one = cut(sketches.groupBy("doc_id").agg(F.min("sketch").alias("sketch")))
+    # One set for a doc_id that repeats: that of the row that sorts first.
+    one = cut(sketches.groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
     edges = None
     for _ in range(rounds):
         lead = cut(members.groupBy("g").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("g", "lead"))
@@ -348,9 +359,9 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sampl
         pairs = cut(led.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct())
         if pairs.isEmpty():
             break
-        x = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a")
-        y = cut(x).join(one.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
-        found = cut(y.select("a", "b", "x", "y").mapInArrow(_alike(similarity - 0.035), "a long, b long"))
+        x = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+        y = cut(x).join(one.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        found = cut(y.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
         edges = found if edges is None else edges.unionByName(found)
         members = cut(led.join(found, (F.col("doc_id") == F.col("a")) & (F.col("lead") == F.col("b")), "left_anti").select("g", "doc_id"))
     if edges is None:

@@ -136,6 +136,34 @@ def test_similar_keeps_one_of_each_group(spark):
     assert simhash.keep_one(empty(rows)).count() == 0
 
 
+def jaccard_groups(texts, similarity=0.8):
+    """The smallest id of each text's group, by the exact similarity of all pairs."""
+    words = {i: SPACED.findall(low(t)) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in texts}
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
+                low_, high = sorted((root[a], root[b]))
+                root = {i: low_ if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_similar_is_exact_on_both_sides_of_the_threshold(spark):
+    texts = {}
+    for g in range(60):
+        w = [f"{x}{g}" for x in prose(200 + g, 1_000).split()]
+        texts[2 * g] = " ".join(w)
+        for k in range(22 + g % 2):  # similarities 0.801 and 0.793
+            w[20 + 40 * k] = f"new{k}"
+        texts[2 * g + 1] = " ".join(w)
+    root = jaccard_groups(texts)
+    assert sum(i != r for i, r in root.items()) == 30
+    left = simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, r in root.items() if i == r)
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1_000, 1_000 + i) for i in range(1, 300)] + [(2_000 + i, 2_000 + (i + 1) % 50) for i in range(50)] + [(7, 7), (3, 2)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
