@@ -264,6 +264,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2) -> Da
     return out.select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+#: Shingles of a block, of two of which the texts are compared at once.
+_BLOCK = 1 << 20
 #: Min-wise hashes whose shingles make the SimHash of a sample.
 _CHOSEN = 3
 
@@ -283,8 +285,8 @@ def _shingles(data: np.ndarray, rows: np.ndarray, shingle: int) -> tuple[np.ndar
     return x[once], np.searchsorted(row[once], np.arange(len(rows)))
 
 
-def _sketches(shingle: int, samples: int):
-    """Rows (doc_id, shingles, samples): the hashes of all shingles, and fingerprints of samples."""
+def _samples(shingle: int, samples: int):
+    """Rows (doc_id, k, samples): a number for the set of shingles, and fingerprints of samples."""
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -303,69 +305,134 @@ def _sketches(shingle: int, samples: int):
                 for k in range(samples):
                     p, q, r = (W.mix(least[:, _CHOSEN * k + i].astype(np.uint64) + (np.uint64(i + 1) << np.uint64(40))) for i in range(_CHOSEN))
                     f[:, k] = ((p & q) | (p & r) | (q & r)) ^ band[k]
-                held = pa.Array.from_buffers(pa.large_binary(), end - at, [None, pa.py_buffer(8 * begins), pa.py_buffer(x)]).cast(pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1) * samples, pa.int32()), pa.array(f.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), held, lists], ["doc_id", "shingles", "samples"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(W.runs_hash(x, begins[:-1], begins[1:]).view(np.int64)), lists], ["doc_id", "k", "samples"])
 
     return run
 
 
-def _alike(similarity: float):
-    """Rows (a, b, shingles of a, shingles of b) to (a, b) of those that share that part of all their shingles at least."""
+def _sets(shingle: int):
+    """Rows (doc_id, k, n, shingles): a number for the set of shingles, their count and hashes."""
 
     def run(batches):
         for b in batches:
-            fit = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                fit[i] = not len(both) or shared / (len(both) - shared) >= similarity
-            fit = pa.array(fit)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(fit), b.column(1).filter(fit)], ["a", "b"])
+            for at, end, data, rows in W.chunks(b.column(1), 500_000):
+                x, begins = _shingles(data, rows, shingle)
+                held = pa.Array.from_buffers(pa.large_binary(), end - at, [None, pa.py_buffer(8 * begins), pa.py_buffer(x)]).cast(pa.binary())
+                k = pa.array(W.runs_hash(x, begins[:-1], begins[1:]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), k, pa.array(np.diff(begins)), held], ["doc_id", "k", "n", "shingles"])
+
+    return run
+
+
+def alike(sets: list[np.ndarray], asked: int, similarity: float) -> np.ndarray:
+    """The smallest member of each set's component over links; sets hold distinct numbers.
+
+    The first `asked` sets are compared with all others, or with one another if they are all.
+    A pair is only left out if its sets are connected already or their sizes rule a link out.
+    """
+    total, root = len(sets), np.arange(len(sets))
+    n = np.array([len(x) for x in sets])
+    begins = np.concatenate([[0], np.cumsum(n)])
+    names, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(names), bool)
+
+    def shared(j: np.ndarray) -> np.ndarray:
+        size = int(n[j].sum())
+        if 4 * size > begins[total] - begins[j[0]]:  # most of what follows: no positions are needed
+            sums = np.add.reduceat(mine[code[begins[j[0]] :]], begins[j[0] : total] - begins[j[0]], dtype=np.int64)
+            return sums[j - j[0]]
+        ends = np.cumsum(n[j])
+        at = np.arange(size) + np.repeat(begins[j] - ends + n[j], n[j])
+        return np.add.reduceat(mine[code[at]], ends - n[j], dtype=np.int64)
+
+    for i in range(asked):
+        lo = i + 1 if asked == total else asked
+        j = lo + np.flatnonzero((root[lo:] != root[i]) & (np.minimum(n[lo:], n[i]) / np.maximum(n[lo:], n[i]) >= similarity))
+        if not len(j):
+            continue
+        mine[code[begins[i] : begins[i + 1]]] = True
+        first = np.zeros(len(j), bool)
+        first[np.unique(root[j], return_index=True)[1]] = True
+        for part in (j[first], j[~first]):  # one of each component, then those that are still apart
+            part = part[root[part] != root[i]]
+            if len(part):
+                both = shared(part)
+                met = np.zeros(total, bool)
+                met[root[part[both / (n[part] + n[i] - both) >= similarity]]] = True
+                if met.any():
+                    met[root[i]] = True
+                    root[met[root]] = np.flatnonzero(met)[0]
+        mine[code[begins[i] : begins[i + 1]]] = False
+    return root
+
+
+def _compare(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.filter(pa.array(table.column("n").to_numpy() > 0))  # texts without words are one set
+        one = table.column("one").to_numpy(zero_copy_only=False)
+        order = np.argsort(~one, kind="stable")
+        ids, sets = table.column("doc_id").to_numpy()[order], table.column("shingles").to_pylist()
+        if len(order) < 2:
+            return pa.table({"a": ids[:0], "b": ids[:0]})
+        root = alike([np.frombuffer(sets[i], np.uint64) for i in order], int(one.sum()), similarity)
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": ids[some], "b": ids[root[some]]})
 
     return run
 
 
-def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, samples: int = 8, rounds: int = 3, radius: int = 2) -> DataFrame:
+def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, samples: int = 8, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) of the rows of `docs` that share `similarity` of their shingles with another.
 
     One fingerprint of a whole text moves by about ten bits between texts of similarity 0.8,
     too far for a tree to search. So each text has `samples` fingerprints, each of three
     shingles that min-wise hashes choose: two texts of similarity s have one in common with
     probability 1 - (1 - s**3) ** samples, 0.997 at 0.8. Vantage-point trees find the
-    fingerprints within `radius` bits; within such a group the smallest doc_id is the leader,
-    and a text links to it if the sets of all their shingles have a Jaccard similarity of
-    `similarity` or more. Texts that don't link get another leader, `rounds` times (a group of
-    texts that share no more than a sample is met again by other samples). component_id: the
-    smallest doc_id over links. Rows of a null doc_id are left out.
+    fingerprints within `radius` bits. All texts of such a group are compared with one another
+    and link if the sets of all their shingles have a Jaccard similarity of `similarity` or
+    more. Large groups are dealt to blocks of about _BLOCK shingles, and each two blocks are
+    compared in a task, so the work in a group of texts that do not link grows with the square
+    of its size. component_id: the smallest doc_id over links; rows that share a doc_id are
+    linked. Rows of a null doc_id are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    sketches = cut(known.mapInArrow(_sketches(shingle, samples), "doc_id long, shingles binary, samples array<long>"))
-    flat = sketches.select("doc_id", F.explode("samples").alias("f"))
-    classes = cut(flat.groupBy("f").agg(F.count("*").alias("n")))
-    comp = cut(components(links(classes.select("f"), radius=radius)))
-    groups = classes.join(comp, F.col("f") == F.col("node"), "left").where("n > 1 or component is not null")
+    rows = cut(known.mapInArrow(_samples(shingle, samples), "doc_id long, k long, samples array<long>"))
+    # Equal sets are one class, named by its smallest doc_id.
+    classes = cut(rows.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("samples").alias("samples")))
+    flat = classes.select("k", F.explode("samples").alias("f"))
+    prints = cut(flat.groupBy("f").agg(F.count("*").alias("n")))
+    comp = cut(components(links(prints.select("f"), radius=radius)))
+    groups = prints.join(comp, F.col("f") == F.col("node"), "left").where("n > 1 or component is not null")
     groups = cut(groups.select(F.col("f").alias("f2"), F.coalesce("component", "f").alias("g")))
-    members = cut(flat.join(groups, F.col("f") == F.col("f2")).select("g", "doc_id").distinct())
-    # One set for a doc_id that repeats: that of the row that sorts first.
-    one = cut(sketches.groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
-    edges = None
-    for _ in range(rounds):
-        lead = cut(members.groupBy("g").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("g", "lead"))
-        led = cut(members.join(lead, "g").where("doc_id != lead"))
-        pairs = cut(led.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct())
-        if pairs.isEmpty():
-            break
-        x = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        y = cut(x).join(one.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        found = cut(y.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
-        edges = found if edges is None else edges.unionByName(found)
-        members = cut(led.join(found, (F.col("doc_id") == F.col("a")) & (F.col("lead") == F.col("b")), "left_anti").select("g", "doc_id"))
-    if edges is None:
-        return spark.createDataFrame([], "doc_id long, component_id long")
+    members = cut(flat.join(groups, F.col("f") == F.col("f2")).select("g", "k").distinct())
+    # Groups of the same members count once.
+    told = members.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).where("n > 1")
+    once = cut(told.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"))
+    members = cut(members.join(once, "g", "left_semi"))
+    # The sets of those texts only.
+    wanted = cut(members.select("k").distinct().join(classes.select("k", "least"), "k").select("least").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = known.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("least"), "left_semi")
+    sets = texts.mapInArrow(_sets(shingle), "doc_id long, k long, n long, shingles binary")
+    sets = cut(sets.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    sizes = members.join(cut(sets.select("k", "n")), "k").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > _BLOCK)
+    sizes = cut(sizes.select("g", F.ceil(F.col("n") / _BLOCK).cast("int").alias("parts")))
+    crowded = sizes.count()
+    if not crowded:
+        members = members.withColumn("parts", F.lit(1))
+    else:
+        sizes = F.broadcast(sizes) if crowded <= BROADCAST_ROWS else sizes
+        members = members.join(sizes, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    dealt = members.select("g", "k", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("g", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("one"))
+    pairs = cut(dealt).join(sets, "k").select("g", "i", "j", "one", "doc_id", "n", "shingles")
+    edges = pairs.groupBy("g", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
+    same = rows.select("doc_id", "k").join(cut(classes.where("n > 1").select("k", "least")), "k").where("doc_id != least")
+    edges = cut(edges).unionByName(same.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

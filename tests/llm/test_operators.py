@@ -164,6 +164,39 @@ def test_similar_is_exact_on_both_sides_of_the_threshold(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, r in root.items() if i == r)
 
 
+def test_similar_gives_up_no_pair_of_a_templated_group(spark, monkeypatch):
+    template = prose(300, 430).split()
+    texts = {}
+    for g in range(200):
+        w = template + [f"{x}{g}" for x in prose(301 + g, 70).split()]
+        texts[g] = " ".join(w)
+        if g % 2:
+            for k in range(10):
+                w[5 + 40 * k] = f"new{k}of{g}"
+            texts[1_000 + g] = " ".join(w)
+    root = jaccard_groups(texts)
+    assert sum(i != r for i, r in root.items()) == 100 and len(set(root.values())) == 200
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (simhash._BLOCK, 30_000):  # all in one block, and dealt to several
+        monkeypatch.setattr(simhash, "_BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()}
+        assert {i: got.get(i, i) for i in texts} == root
+
+
+def test_alike_links_all_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 40))).astype(np.uint64) for _ in range(80)]
+    link = [[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 for b in sets] for a in sets]
+    for asked in (80, 30):
+        root = list(range(80))
+        for _ in range(80):
+            for a in range(asked):
+                for b in range(a + 1 if asked == 80 else asked, 80):
+                    if link[a][b]:
+                        root[a] = root[b] = min(root[a], root[b])
+        assert simhash.alike(sets, asked, 0.8).tolist() == root
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1_000, 1_000 + i) for i in range(1, 300)] + [(2_000 + i, 2_000 + (i + 1) % 50) for i in range(50)] + [(7, 7), (3, 2)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
