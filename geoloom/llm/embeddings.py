@@ -1,15 +1,9 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Equal vectors become one class. In each pass several random rotations hash a class: a
-rotation's digit is the coordinate of largest size after it, with its sign. Classes are
-ordered lexicographically by their concatenated digits (range partitions, so that no key
-must fit in a task; equal keys are dealt by a further hash), and each is compared with its
-next neighbours in a window of fixed length. Verified pairs of all passes are united.
-
-A window cannot hold all neighbours of a vector that has thousands. Its passes connect the
-group, and the links in it are then counted exactly: members within half the angle of the
-group's smallest member are pairwise linked, which needs no comparison, and all others are
-compared with the whole group in blocks, of which only counts leave.
+"""Near-duplicate vectors, exactly, in blocks.
+
+Equal vectors become one class. Classes are dealt to blocks of bounded bytes, and each two
+blocks are compared in a task by one matrix product: what leaves it are counts of links and
+a spanning forest of them, not the pairs. No pair is left out, so the work grows with the
+square of the number of classes.
 """
 
 from __future__ import annotations
@@ -23,9 +17,8 @@ from pyspark.sql import types as T
 from ._env import cut, ship
 from ._graph import components, forest
 
-DIGITS = 5
-#: Members of a group that are compared with one another in a block.
-_ASKED, _HELD = 256, 4_096
+#: Bytes of the vectors in a block; 8,192 of 64 dimensions.
+_BLOCK = 4 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -54,98 +47,30 @@ def _classify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 
-def _rotations(size: int, passes: int) -> list[list[np.ndarray]]:
-    rng = np.random.default_rng(20_240_601)
-    return [[rng.standard_normal((size, size)) for _ in range(DIGITS)] for _ in range(passes)]
-
-
-def _keys(passes: int):
-    """Rows (pass, size, key, salt, id, v) for each pass."""
-
-    def run(batches):
-        known: dict[int, list[list[np.ndarray]]] = {}
-        for b in batches:
-            sizes = np.array([len(x) for x in b.column(1).to_pylist()])
-            for n in np.unique(sizes):
-                part = b.filter(pa.array(sizes == n))
-                x = _matrix(part.column(1))
-                for p, rotations in enumerate(known.setdefault(int(n), _rotations(x.shape[1], passes))):
-                    digits = np.empty((len(x), DIGITS), ">u2")
-                    for k, r in enumerate(rotations):
-                        y = x @ r
-                        at = np.abs(y).argmax(1)
-                        digits[:, k] = 2 * at + (y[np.arange(len(x)), at] > 0)
-                    keys = [row.tobytes() for row in digits]
-                    m = len(part)
-                    yield pa.RecordBatch.from_pydict({"pass": np.full(m, p, np.int32), "size": np.full(m, n, np.int32), "key": pa.array(keys, pa.binary()), "id": part.column(0), "v": part.column(1)})
-
-    return run
-
-
-def _windows(window: int, threshold: float):
-    """Edges (a, b) of a spanning forest of the verified pairs in a batch, its predecessor's last rows included."""
-
-    def run(batches):
-        tail = None
-        for b in batches:
-            if tail is not None:
-                b = pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
-            kind = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
-            ids = b.column(2).to_numpy()
-            n = b.num_rows
-            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            bounds = np.flatnonzero(np.diff(kind, prepend=kind[:1] - 1))
-            for lo, hi in zip(bounds, [*bounds[1:], n], strict=True):
-                v = _matrix(b.column(3).slice(lo, hi - lo))
-                for i in range(0, hi - lo, 512):
-                    near = v[i : i + 512] @ v[i : i + 512 + window].T
-                    p, q = np.nonzero(near >= threshold)
-                    ok = (q > p) & (q - p <= window)
-                    x.append(p[ok] + lo + i)
-                    y.append(q[ok] + lo + i)
-            root = forest(np.concatenate(x), np.concatenate(y), n)
-            some = np.flatnonzero(root != np.arange(n))
-            yield pa.RecordBatch.from_pydict({"a": ids[some], "b": ids[root[some]]})
-            tail = b.slice(max(0, n - window))
-
-    return run
-
-
-def _core(half: float):
-    """Rows (id, c, n, v, core): whether the member is within half the angle of its group's first."""
-
-    def run(batches):
-        for b in batches:
-            out = np.zeros(b.num_rows, bool)
-            v, w = b.column(3).to_pylist(), b.column(4).to_pylist()
-            sizes = np.array([len(x) for x in v])
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                x, y = (np.frombuffer(b"".join(z[i] for i in at), np.float64).reshape(len(at), -1) for z in (v, w))
-                out[at] = (x * y).sum(1) >= half
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out)], ["id", "c", "n", "v", "core"])
-
-    return run
-
-
-def _count(threshold: float):
-    """Of one block: for each member, how many vectors of the other side it links with.
-
-    A pair of an asked and a core member counts for both; a pair of asked members for the first.
-    """
+def _compare(threshold: float):
+    """Of two blocks, or of one with itself: (id, links to the other side, id of the component's first member)."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked = table.column("asked").to_numpy(zero_copy_only=False)
-        v = table.column("v").combine_chunks()
-        if isinstance(v, pa.ChunkedArray):
-            v = pa.concat_arrays(v.chunks)
-        x = _matrix(v)
-        ids, n, core = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("core").to_numpy(zero_copy_only=False)
-        q, h = np.flatnonzero(asked), np.flatnonzero(~asked)
-        links = (x[q] @ x[h].T >= threshold) & (ids[q][:, None] != ids[h][None])
-        mine, theirs = links @ n[h], n[q] @ links
-        held = core[h]
-        return pa.table({"id": np.concatenate([ids[q], ids[h][held]]), "links": np.concatenate([mine, theirs[held]]).astype(np.int64)})
+        one = table.column("one").to_numpy(zero_copy_only=False)
+        order = np.argsort(~one, kind="stable")
+        table, m, total = table.take(pa.array(order)), int(one.sum()), len(order)
+        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(total, -1)
+        alone = table.column("i")[0] == table.column("j")[0]
+        lo = 0 if alone else m
+        links, root = np.zeros(total, np.int64), np.arange(total)
+        for i in range(0, m, 256):
+            at = np.arange(i, min(i + 256, m))
+            ok = x[at] @ x[lo:].T >= threshold
+            if alone:
+                ok[at - i, at] = False
+            else:
+                links[lo:] += n[at] @ ok
+            links[at] += ok @ n[lo:]
+            p, q = np.nonzero(ok & (root[at][:, None] != root[None, lo:]))
+            if len(p):
+                root = forest(np.concatenate([at[p], np.arange(total)]), np.concatenate([q + lo, root]), total)
+        return pa.table({"id": ids, "links": links, "root": ids[root]})
 
     return run
 
@@ -157,7 +82,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, passes: int =
     directly, other rows of an equal vector included; component_id: the smallest vec_id
     reachable over links; kept: it is the row's own. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, nor do vectors of different
-    lengths; rows of a null vec_id have 0 links and null in the other columns.
+    lengths. All pairs are compared; `passes` and `window` have no effect any more. Rows of a null vec_id have 0 links and null in the other columns.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -167,30 +92,15 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, passes: int =
     # id: the smallest vec_id of an equal vector; n: rows of it.
     classes = cut(known.groupBy("d").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")))
     classes = cut(classes.withColumn("id", F.xxhash64("d")))  # a number for each class, whatever the vec_ids
-    keyed = classes.select("id", "v").mapInArrow(_keys(passes), "pass int, size int, key binary, id long, v binary")
-    salt = F.xxhash64("pass", "id")
-    ordered = keyed.withColumn("salt", salt).repartitionByRange("pass", "size", "key", "salt").sortWithinPartitions("pass", "size", "key", "salt")
-    edges = ordered.select("pass", "size", "id", "v").mapInArrow(_windows(window, threshold), "a long, b long")
-    comp = cut(components(edges).withColumnRenamed("node", "id"))
-    members = cut(classes.join(comp, "id").select("id", F.col("component").alias("c"), "n", "v"))
-    # Exact counts in each group of several classes.
-    heads = cut(members.where("id = c").select(F.col("c").alias("c2"), F.col("v").alias("w")))
-    half = float(np.cos(np.arccos(threshold) / 2)) + 1e-9
-    members = cut(members.join(heads, F.col("c") == F.col("c2")).select("id", "c", "n", "v", "w").mapInArrow(_core(half), "id long, c long, n long, v binary, core boolean"))
-    sums = cut(members.groupBy("c").agg(F.sum(F.when(F.col("core"), F.col("n"))).alias("cores"), F.count("*").alias("size"), F.count(F.when(~F.col("core"), 1)).alias("others")))
-    sums = sums.withColumn("asks", F.ceil(F.col("others") / _ASKED).cast("int")).withColumn("helds", F.ceil(F.col("size") / _HELD).cast("int"))
-    told = cut(members.join(cut(sums).withColumnRenamed("c", "c3"), F.col("c") == F.col("c3")))
-    some = told.where("others > 0")
-    deal = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    q = some.where("not core").select("c", deal("asks", 1).alias("i"), each("helds").alias("j"), "id", "n", "v", "core", F.lit(True).alias("asked"))
-    h = some.select("c", each("asks").alias("i"), deal("helds", 2).alias("j"), "id", "n", "v", "core", F.lit(False).alias("asked"))
-    counted = q.unionByName(h).groupBy("c", "i", "j").applyInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    per = told.join(cut(counted).withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"), "left")
-    links = F.coalesce("links", F.lit(0)) + F.when(F.col("core"), F.col("cores") - F.col("n")).otherwise(0)
-    per = per.select("id", "c", links.alias("others"))
-    per = classes.select("id", "d", "n", "least").join(cut(per).withColumnRenamed("id", "id4"), F.col("id") == F.col("id4"), "left")
-    per = cut(per.select(F.col("d").alias("d2"), "least", F.coalesce("c", "id").alias("c"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    sizes = classes.groupBy(F.length("v").alias("size")).agg(F.ceil(F.sum(F.length("v")) / _BLOCK).cast("int").alias("parts"))
+    dealt = classes.withColumn("size", F.length("v")).join(cut(sizes), "size").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("size", "id", "n", "v", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("size", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("one"), "id", "n", "v")
+    found = cut(dealt.groupBy("size", "i", "j").applyInArrow(_compare(threshold), "id long, links long, root long"))
+    comp = cut(components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id3"), F.col("component").alias("c")))
+    counted = cut(found.groupBy(F.col("id").alias("id2")).agg(F.sum("links").alias("others")))
+    per = cut(classes.select("id", "d", "n", "least").join(counted, F.col("id") == F.col("id2"))).join(comp, F.col("id") == F.col("id3"), "left")
+    per = cut(per.select(F.col("d").alias("d2"), "least", F.coalesce("c", "id").alias("c"), (F.col("n") - 1 + F.col("others")).alias("n_links")))
     first = cut(per.groupBy("c").agg(F.min("least").alias("component_id")).withColumnRenamed("c", "c5"))
     per = cut(per.join(first, F.col("c") == F.col("c5")).select("d2", "n_links", "component_id"))
     out = rows.join(per, F.col("d") == F.col("d2"), "left")

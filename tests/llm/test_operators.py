@@ -442,6 +442,20 @@ def test_embeddings(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in odd) == [(0, 0, 0), (1, 1, 1), (1, 1, 1)]
 
 
+def test_embeddings_of_a_loose_hot_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(64) + 0.6 * rng.standard_normal((2_000, 64))  # cosines of about 0.74
+    x = np.concatenate([x, x[:200] + 0.42 * rng.standard_normal((200, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[:200, 2_000:].sum() > 100
+    monkeypatch.setattr(embeddings, "_BLOCK", 512 * 800)  # three blocks
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert all(got[a]["component_id"] == got[b]["component_id"] for a, b in np.argwhere(near).tolist())
+
+
 def test_toxicity_learns_from_its_rows_only(spark):
     bad = ["nasty", "vile", "rotten"]
     rows, labels = [], []
