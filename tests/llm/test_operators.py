@@ -450,12 +450,44 @@ def test_embeddings_of_a_loose_hot_cluster(spark, monkeypatch):
     near = x @ x.T >= 0.9
     np.fill_diagonal(near, False)
     assert near[:200, 2_000:].sum() > 100
-    monkeypatch.setattr(embeddings, "_BLOCK", 512 * 800)  # three blocks
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    monkeypatch.setattr(embeddings, "SMALL", 8)
     got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
     assert all(got[a]["component_id"] == got[b]["component_id"] for a, b in np.argwhere(near).tolist())
 
 
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_embeddings_recall_at_the_threshold(spark, partitions):
+    """2,000 pairs of cosine 0.901 among 20,000 vectors; with 40 partitions, windows reach over several borders."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.standard_normal((20_000 // partitions, 64)))
+    k = 2_000 // partitions
+    z = rng.standard_normal((k, 64))
+    z = unit(z - (z * x[:k]).sum(1)[:, None] * x[:k])
+    x = np.concatenate([x, 0.901 * x[:k] + np.sqrt(1 - 0.901**2) * z])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", partitions == 1)
+        spark.conf.set("spark.sql.shuffle.partitions", max(4, partitions))
+        got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = len(x) - k
+    assert sum(got[n + i]["component_id"] == i and got[n + i]["n_links"] == 1 for i in range(k)) >= 0.99 * k
+    assert sum(r["n_links"] for r in got.values()) <= 2 * k
+
+
+def test_embeddings_count_passes_by_density():
+    p = embeddings.agreement(0.9)
+    assert 0.4 < p < 0.5 and embeddings.passes_needed(np.zeros(9, int), p, 1e-3) == 1
+    few, many = (embeddings.passes_needed(np.array(d), p, 1e-3) for d in ([0, 90, 10], [0, 10, 80, 10]))
+    assert few < many and (1 - p) ** few <= 1e-3
+
+
 def test_toxicity_learns_from_its_rows_only(spark):
     bad = ["nasty", "vile", "rotten"]
     rows, labels = [], []
