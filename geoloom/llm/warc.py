@@ -4,12 +4,14 @@ Layout: a skippable frame of magic 0x184D2A5D holds the dictionary, then every r
 frame of its own. The archives are written by Spark's text sink, a row being the bytes of a
 frame and the line separator an empty skippable frame, which readers of Zstandard pass over;
 so they go to any file system that Spark knows, and a file's writer may be lost and started
-again. Reading takes whole files (their size is bounded by how many records a writer takes),
-loads each one's dictionary, decodes frame by frame and validates headers and lengths.
+again. A row, and so a file, holds a bounded number of bytes, or a single record. Reading
+takes whole files, loads each one's dictionary, decodes frame by frame and validates headers
+and lengths; archives of other writers may be as large as a value of Spark (2 GB).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -36,12 +38,20 @@ def skippable(content: bytes, magic: int = DICT_MAGIC) -> bytes:
     return struct.pack("<II", magic, len(content)) + content
 
 
+def _odd(c: str) -> bool:
+    """Whether a character of a URL would break or be stripped from a header."""
+    return c.isspace() or ord(c) < 33 or ord(c) == 127
+
+
 def record(kind: str, uri: str, page_id: int | None, digest: str, payload: bytes, size: int, refers_to: int | None = None) -> bytes:
     """One WARC/1.1 record of an HTTP response; a revisit has its HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {_DATE}"]
-    lines += [f"WARC-Target-URI: {uri}"] if uri else []
+    if uri:
+        lines.append("WARC-Target-URI: " + "".join(c if not _odd(c) else "".join(f"%{x:02X}" for x in c.encode()) for c in uri))
+        if any(map(_odd, uri)):  # the URI as it was, which a header cannot hold
+            lines.append(f"X-Raw-Target-URI: {base64.b64encode(uri.encode()).decode()}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if kind == "revisit":
         lines += [f"WARC-Profile: {_RESPONSE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -91,7 +101,9 @@ def parse(raw: bytes) -> dict:
             raise ArchiveError(f"the payload of page {page} is not what its header says")
     elif kind != "revisit" or payload or not to:
         raise ArchiveError(f"a record of type {kind!r} with {len(payload)} bytes")
-    return {"page_id": page, "url": h.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": to[0] if to else None, "payload": payload if kind == "response" else None}
+    raw_uri = h.get("x-raw-target-uri")
+    uri = base64.b64decode(raw_uri).decode() if raw_uri else h.get("warc-target-uri")
+    return {"page_id": page, "url": uri, "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": to[0] if to else None, "payload": payload if kind == "response" else None}
 
 
 def frames(data: bytes):
@@ -103,7 +115,7 @@ def frames(data: bytes):
         n = struct.unpack_from("<I", data, 4)[0]
         if 8 + n > len(data):
             raise ArchiveError("the dictionary's frame is cut off")
-        held = data[8 : 8 + n]
+        held = bytes(data[8 : 8 + n])
         if held[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may be compressed itself
             held = plain.decompress(held)
         known, at = zstandard.ZstdCompressionDict(held), 8 + n
@@ -142,23 +154,34 @@ def train(samples: list[bytes], size: int = 32_768) -> bytes:
         return b""
 
 
-def _writer(dictionary: bytes, level: int):
+def _writer(dictionary: bytes, level: int, archive_bytes: int):
+    """Rows (value): an archive each, whose records have `archive_bytes` at most unless a single one is longer."""
+
     def run(batches):
         import zstandard
 
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=True)
-        fresh = True
+        head = skippable(dictionary)
+        out, held = [head], 0
+
+        def archive():
+            return pa.RecordBatch.from_pydict({"value": pa.array([b"".join(out)], pa.binary())})
+
         for b in batches:
             names, html = b.schema.names, b.schema.names.index("html")
             for at, end, data, rows in W.chunks(b.column(html), 1_000_000):
-                raw, part = data.tobytes(), b.slice(at, end - at)
+                part = b.slice(at, end - at)
                 page, uri, digest, size, kind, to = (part.column(names.index(c)).to_pylist() for c in ("page_id", "url", "digest", "size", "kind", "refers_to"))
-                out = [skippable(dictionary)] if fresh else []
-                fresh = False
                 for i in range(end - at):
-                    out.append(packer.compress(record(kind[i], uri[i] or "", page[i], digest[i], raw[rows[i] : rows[i + 1]], size[i], to[i])))
-                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+                    frame = packer.compress(record(kind[i], uri[i] or "", page[i], digest[i], data[rows[i] : rows[i + 1]].tobytes(), size[i], to[i]))
+                    if held + len(frame) > archive_bytes and len(out) > 1:
+                        yield archive()
+                        out, held = [head], 0
+                    out.append(frame)
+                    held += len(frame)
+        if len(out) > 1:
+            yield archive()
 
     return run
 
@@ -182,17 +205,34 @@ def plan(pages: DataFrame, *, least: int = 1_000) -> DataFrame:
     return found.select("page_id", "url", "html", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("lead")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, *, level: int = 3, sample_rows: int = 200, least: int = 1_000) -> None:
-    """Write a record for every row of `pages`, one archive a partition, below `path`.
+def _sample(pages: DataFrame, rows: int) -> list[bytes]:
+    """Some payloads of 64 K characters at most, to train a dictionary on.
 
-    The dictionary is trained on a bounded sample: the `sample_rows` payloads of lowest hash,
-    each of 64 KB at most. It only shortens the archives.
+    Keys come first, as numbers: no task sends the driver a payload that is not in the sample.
+    """
+    key = F.xxhash64("page_id", "url")
+    least = pages.select(key.alias("k")).orderBy("k").limit(rows).agg(F.max("k")).first()[0]
+    if least is None:
+        return []
+    found = pages.where((key <= least) & F.length("html").between(1, 65_536)).select("html").limit(rows)
+    return [r["html"].encode() for r in found.collect()]
+
+
+def write(pages: DataFrame, path: str, *, level: int = 3, sample_rows: int = 200, least: int = 1_000, archive_bytes: int = 32 << 20) -> None:
+    """Write a record for every row of `pages` to archives below `path`.
+
+    The records of an archive have `archive_bytes` at most, unless a single one is longer,
+    whatever a session says of records in a file. The dictionary is trained on a bounded sample: payloads
+    of 64 K characters at most among the `sample_rows` rows of lowest hash. It only shortens
+    the archives. Characters of a URL that a header cannot hold (white space, controls) are
+    percent-encoded there, and a header of its own keeps the URL as it was; an empty URL is
+    read back as null. An empty table gives no archive; columns other than page_id, url and
+    html are not written, whatever their names.
     """
     ship(pages.sparkSession)
-    some = pages.where(F.length("html").between(1, 65_536)).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample_rows)
-    dictionary = train([r["html"].encode() for r in some.select("html").collect()])
-    out = plan(pages, least=least).mapInArrow(_writer(dictionary, level), "value binary")
-    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    dictionary = train(_sample(pages, sample_rows))
+    out = plan(pages, least=least).mapInArrow(_writer(dictionary, level, archive_bytes), "value binary")
+    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
 _FIELDS = {"page_id": "long", "url": "string", "record_type": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "long", "payload": "string"}
@@ -200,7 +240,8 @@ _FIELDS = {"page_id": "long", "url": "string", "record_type": "string", "payload
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below `path`: page_id, url, record_type, payload_bytes,
-    payload_digest, refers_to and payload (of responses). A broken archive raises an error."""
+    payload_digest, refers_to and payload (of responses; bytes that are not UTF-8 become
+    U+FFFD). A broken archive raises an error; a folder without archives has no records."""
     ship(spark)
 
     def run(batches):
@@ -208,10 +249,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 out, held = [], 0
-                for raw in frames(b.column(0)[i].as_py()):
+                for raw in frames(memoryview(b.column(0)[i].as_buffer())):
                     r = parse(raw)
                     held += len(raw)
-                    r["payload"] = None if r["payload"] is None else r["payload"].decode()
+                    r["payload"] = None if r["payload"] is None else r["payload"].decode("utf-8", "replace")
                     out.append(r)
                     if held > 1 << 20:
                         yield pa.RecordBatch.from_pylist(out, schema)
@@ -220,3 +261,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in _FIELDS.items()))
+
+
+def dangling(records: DataFrame) -> DataFrame:
+    """The revisits whose response is not there, or has another digest."""
+    known = records.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"))
+    named = (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    return records.where("record_type = 'revisit'").join(known, named, "left_anti")

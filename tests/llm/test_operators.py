@@ -393,6 +393,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_keeps_any_url_and_splits_archives(spark, tmp_path):
+    urls_ = ["http://a/\r\n\r\nb", "http://a/\r\nX: y", "  http://b ", "http://c/%20\x85\u3000", "http://d/ü", "\x00", "WARC/1.1"]
+    rows = [(i, u, "p" * (900 + i), "clash", "clash") for i, u in enumerate(urls_)] + [(100 + i, "u", str(np.random.default_rng(i).integers(0, 10**9, 400).tolist()), None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, kind string").repartition(2)
+    path = f"file://{tmp_path}/warc"
+    warc.write(df, path, archive_bytes=5_000)
+    got = {r["page_id"]: r for r in warc.read(spark, path).collect()}
+    assert {i: r["url"] for i, r in got.items()} == {i: u for i, u, *_ in rows} and all(got[i]["payload"] == h for i, _, h, *_ in rows)
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*") if f.stat().st_size]
+    assert len(sizes) > 3 and max(sizes) <= 5_000 + 32_768 + 16
+    again = spark.createDataFrame([(1, "response", "d", None), (2, "revisit", "d", 1), (3, "revisit", "e", 1), (4, "revisit", "d", 9)], "page_id long, record_type string, payload_digest string, refers_to long")
+    assert {r["page_id"] for r in warc.dangling(again).collect()} == {3, 4}
+
+
+def test_warc_sends_the_driver_its_sample_only(spark):
+    """40 tasks with 50 payloads of 60 KB each: 117 MB, of which the sample is 3 MB at most."""
+    pages = spark.range(0, 2_000, numPartitions=40).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.md5(F.col("id").cast("string")), 1_900).alias("html"))
+    sizes = [len(x) for x in warc._sample(pages, 50)]
+    assert len(sizes) == 50 and sum(sizes) < 50 * 65_536
+
+
 def test_warc_rejects_broken_archives():
     import zstandard
 
