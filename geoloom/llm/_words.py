@@ -71,6 +71,16 @@ def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _long_hash(values: np.ndarray, base: int = _BASE) -> np.uint64:
+    """runs_hash() of all of `values`, block by block."""
+    total, p = 0, powers(CHUNK_BYTES, base)[0]
+    for at in range(0, len(values), CHUNK_BYTES):
+        part = values[at : at + CHUNK_BYTES].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            total += int((part * p[: len(part)]).sum(dtype=np.uint64)) * pow(base, at, 1 << 64)
+    return mix(np.array([(total + len(values) * 0x9E3779B97F4A7C15) & _MASK], np.uint64))[0]
+
+
 class Words:
     """The words of some rows.
 
@@ -107,7 +117,20 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return runs_hash(self.data, self.starts, self.ends)
+        """Hashes of the words; bytes are taken in blocks, so that a long row needs no long prefix sums."""
+        n = len(self)
+        if not n or self.ends[-1] <= 2 * CHUNK_BYTES:
+            return runs_hash(self.data, self.starts, self.ends)
+        out, i = np.empty(n, np.uint64), 0
+        while i < n:
+            lo = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, lo + CHUNK_BYTES, side="right")))
+            if self.ends[j - 1] - lo <= CHUNK_BYTES:
+                out[i:j] = runs_hash(self.data[lo : self.ends[j - 1]], self.starts[i:j] - lo, self.ends[i:j] - lo)
+            else:
+                out[i] = _long_hash(self.data[lo : self.ends[i]])
+            i = j
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """Starts of all windows of `size` words that lie in one row."""
@@ -161,6 +184,29 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
+def overlapping(data: np.ndarray, kind: str, lower: bool, overlap: int, size: int = CHUNK_BYTES) -> Iterator[Words]:
+    """The words of one long row in pieces; each begins with the last `overlap` words of the one before.
+
+    So every run of overlap + 1 words is in one piece only.
+    """
+    table, lo, n = ALNUM if kind == "alnum" else SPACED, 0, len(data)
+    if lower:
+        data = _LOWER[data]
+    while True:
+        hi = min(lo + size, n)
+        while hi < n and table[data[hi]]:  # to the end of the word
+            gap = np.flatnonzero(~table[data[hi : hi + 65_536]])
+            hi = hi + int(gap[0]) if len(gap) else min(hi + 65_536, n)
+        w = Words(data[lo:hi], np.array([0, hi - lo]), table, False)
+        if hi < n and len(w) <= overlap:  # too few words to go on from
+            size *= 2
+            continue
+        yield w
+        if hi == n:
+            return
+        lo += int(w.starts[len(w) - overlap]) if overlap else hi - lo
+
+
 def split(data: np.ndarray, rows: np.ndarray, kind: str, lower: bool) -> Words:
     """kind "alnum": runs of a-z, 0-9 and non-ASCII bytes; "spaced": runs between ASCII white space."""
     return Words(data, rows, ALNUM if kind == "alnum" else SPACED, lower)

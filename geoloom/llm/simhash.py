@@ -36,6 +36,8 @@ def _rotl(x: np.ndarray, r: int) -> np.ndarray:
 def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
     """XXH64 of each data[start:end]; slices of equal length go through each step together."""
     out = np.empty(len(starts), np.uint64)
+    if not len(starts):
+        return out
     lens = ends - starts
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     u64 = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
@@ -75,8 +77,36 @@ def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42
     return out
 
 
+#: Bytes of a text that is cut into pieces.
+_LONG = 2_000_000
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        total += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return total
+
+
+def _long_fingerprint(data: np.ndarray, shingle: int) -> np.uint64:
+    """The fingerprint of one long text, piece by piece."""
+    ones, n = np.zeros(64, np.int64), 0
+    for w in W.overlapping(data, "spaced", True, shingle - 1, _LONG // 2):
+        if len(w) < shingle:  # the whole text
+            return _fingerprints(w.data, np.array([0, len(w.data)]), shingle)[0] if len(w) else np.uint64(0)
+        text, begins = w.joined()
+        first = np.arange(len(w) - shingle + 1)
+        ones += _ones(xxh64(text, begins[first], begins[first + shingle] - 1))
+        n += len(first)
+    return ((2 * ones > n) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(dtype=np.uint64)
+
+
 def _fingerprints(data: np.ndarray, rows: np.ndarray, shingle: int) -> np.ndarray:
     w = W.split(data, rows, "spaced", lower=True)
+    if len(data) > _LONG and len(rows) == 2 and len(w) >= shingle:
+        del w
+        return np.array([_long_fingerprint(data, shingle)], np.uint64)
     text, begins = w.joined()
     counts, n = w.counts, len(rows) - 1
     first = w.windows(shingle)
@@ -90,11 +120,13 @@ def _fingerprints(data: np.ndarray, rows: np.ndarray, shingle: int) -> np.ndarra
     some = np.flatnonzero(per_row)
     if len(some):
         at = np.concatenate([[0], np.cumsum(per_row[some])])
-        for lo in range(0, len(some), 256):  # rows, whose bits are unpacked together
-            hi = min(lo + 256, len(some))
+        lo = 0
+        while lo < len(some):  # rows, whose bits are unpacked together
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 16), side="right")) - 1)
             bits = np.unpackbits(h[at[lo] : at[hi]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, at[lo:hi] - at[lo], axis=0, dtype=np.int32)
             out[some[lo:hi]] = ((2 * ones > per_row[some[lo:hi], None]) * weight).sum(1, dtype=np.uint64)
+            lo = hi
     out[short] = h[len(first) :]
     return out
 
@@ -103,7 +135,8 @@ def fingerprint(docs: DataFrame, *, shingle: int = 3, out: str = "fingerprint")
     """`docs` with the SimHash of each whole text as a signed long; zero where it has no words.
 
     Words are runs between ASCII white space, A-Z lower-cased; shingles count as often as
-    they occur; a text of fewer words is one shingle. Null texts have no words.
+    they occur; a text of fewer words is one shingle. Null texts have no words. Texts of over
+    2 MB are taken in pieces, so that memory follows their bytes and not 64 bits of each word.
     """
     ship(docs.sparkSession)
     docs = docs.drop(out)

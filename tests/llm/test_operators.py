@@ -98,6 +98,25 @@ def test_simhash(spark, docs):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in lone) == [(0, 0), (5, 5), (5, 5)]
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Fingerprints, features and hashes are those of the whole text, however it is cut."""
+    from geoloom.llm import _words as W
+
+    rng = np.random.default_rng(4)
+    for text in (prose(9, 3_000), "ab " * 4_000, "x" * 9_000 + " y " + "Ü😀 " * 900, "one", " \n" * 3_000, "x" * 9_000, " ".join("w" * int(n) for n in rng.integers(1, 400, 200))):
+        data = np.frombuffer(text.encode(), np.uint8)
+        rows = np.array([0, len(data)])
+        whole = simhash._fingerprints(data, rows, 3), toxicity._pairs(data, rows, None)[1], W.split(data, rows, "spaced", True).hashes()
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "_LONG", 1_000)
+            m.setattr(toxicity, "_LONG", 700)
+            m.setattr(W, "CHUNK_BYTES", 512)
+            m.setattr(W, "_powers", {})
+            parts = simhash._fingerprints(data, rows, 3), toxicity._pairs(data, rows, None)[1], W.split(data, rows, "spaced", True).hashes()
+        assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+        assert whole[0][0] == fingerprint(text)
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 5])
 def test_vantage_point_tree_finds_all(radius):
     rng = np.random.default_rng(radius)
@@ -296,6 +315,35 @@ def test_token_counts(spark, docs, tmp_path):
     assert tokencounts.counts(empty(docs), f"file://{tmp_path}/none").count() == 0
 
 
+def test_tokens_of_long_runs(spark, tmp_path):
+    """Parts give the same tokens as the whole text; white space of 2 MB, on which the pattern fails, is encoded."""
+    import tiktoken
+
+    ranks = tokencounts._ranks(tokencounts.RANKS)
+    plain = tiktoken.Encoding("t", pat_str=tokencounts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    small = tokencounts.encoder(ranks, run=3, part=5)
+    rng = np.random.default_rng(3)
+    for n in range(300):
+        text = "".join(rng.choice(list("ab1 \n\t\u3000\x85\x1c'.s") + ["  ", "    ", "\n\n\n", "'s", "ü"], n % 40))
+        assert [t for part in small(text) for t in part] == plain.encode_ordinary(text)
+    rows = [(1, " " * 2_000_000), (2, "a" + "\n" * 2_000_000 + "b"), (None, "x y"), (None, "x y"), (3, None)]
+    got = tokencounts.counts(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/t", file_tokens=1_000, width=4).collect()
+    want = {1: len(plain._encode_single_piece(" " * 2_000_000)), 2: len(plain._encode_single_piece("\n" * 1_999_999)) + 3, 3: 0}
+    assert {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"]} == want and sum(r["doc_id"] is None and r["n_tokens"] == 2 for r in got) == 2
+
+
+def test_flat_files_of_other_writers(spark, tmp_path):
+    flat = np.array([5, 9, 9, 4, 4, 4, 9, 2], "<u2")
+    (tmp_path / "sub").mkdir()
+    flat.tofile(tmp_path / "sub" / "a.bin")
+    flat[:2].tofile(tmp_path / "b.bin")
+    got = tokencounts.scan(tokencounts.blocks(spark, f"file://{tmp_path}", block_tokens=3), separator=9).collect()
+    assert sorted((r["file"][-5:], r["ordinal"], r["n_tokens"], r["closed"]) for r in got) == [("a.bin", 0, 1, True), ("a.bin", 1, 0, True), ("a.bin", 2, 3, True), ("a.bin", 3, 1, False), ("b.bin", 0, 1, True)]
+    (tmp_path / "c.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number"):
+        tokencounts.blocks(spark, f"file://{tmp_path}").count()
+
+
 def test_separator_scan_stitches_blocks(spark):
     flat = [9, 9, 1, 1, 9, 2, 2, 2, 2, 2, 9, 3]
     rows = [(0, b, np.array(flat[4 * b : 4 * b + 4], "<u2").tobytes()) for b in range(3)] + [(1, 0, b""), (2, 0, None), (3, 0, np.array([9], "<u2").tobytes())]
