@@ -6,8 +6,9 @@ Bayes log-count ratio; the n-grams that tell most between the classes (likelihoo
 statistic) are kept, their indicators are multiplied by the ratio, and a logistic regression
 with L2 penalty is fitted to them. Only labels and texts of the training rows are used.
 
-Fitting uses at most ``max_rows`` labelled rows, those whose document ids hash lowest; that
-bound makes the label side small enough to broadcast and the fit small enough for the driver.
+Fitting uses at most ``max_rows`` labelled documents, those whose ids hash lowest; that bound
+makes the label side small enough to broadcast and the fit small enough for the driver. The
+model has ``max_features`` n-grams; on held-out rows more of them predict worse (README).
 Scoring reads every row once, with no shuffle.
 """
 
@@ -65,8 +66,30 @@ def _row_of(data: np.ndarray, rows: np.ndarray, position: np.ndarray) -> np.ndar
     return np.searchsorted(at[rows], position, side="right") - 1
 
 
+#: Bytes of a text that is cut into pieces.
+_LONG = 1_000_000
+
+
+def _long_features(data: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """The distinct features of one long text, ascending, from overlapping pieces of it."""
+    seen = np.zeros(1 << BITS, bool)
+    for lo in range(0, len(data), _LONG):
+        while lo and lo < len(data) and data[lo] & 0xC0 == 0x80:  # to the next character
+            lo += 1
+        hi = min(len(data), lo + _LONG + 4 * max(SIZES))  # a character has four bytes at most
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi += 1
+        for h, _ in _grams(data[lo:hi], np.array([0, hi - lo])):
+            h = h if wanted is None else wanted[h]
+            seen[h[h >= 0]] = True
+    return np.flatnonzero(seen)
+
+
 def _pairs(data: np.ndarray, rows: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature), by row; wanted: a table with -1 at the features to leave out."""
+    if len(rows) == 2 and len(data) > 2 * _LONG:
+        feature = _long_features(data, wanted)
+        return np.zeros(len(feature), np.int64), feature
     row, feature = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for h, position in _grams(data, rows):
         if wanted is not None:
@@ -108,12 +131,12 @@ def _design(features: np.ndarray):
     def run(batches):
         table = _table(features)
         for b in batches:
-            y = b.column(1).to_numpy(zero_copy_only=False)
+            ids, y = b.column(2), b.column(1).to_numpy(zero_copy_only=False)
             for at, end, data, rows in W.chunks(b.column(0), 1_000_000):
                 row, feature = _pairs(data, rows, table)
                 ends = np.searchsorted(row, np.arange(end - at + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(y[at:end], pa.int32()), lists], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(y[at:end], pa.int32()), lists], ["id", "y", "x"])
 
     return run
 
@@ -172,14 +195,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_featu
     """Learn from the labelled rows of `docs` that are not held out.
 
     labels: doc_id, toxic; rows with a null in either are left out, and a document with
-    several labels counts as toxic if one says so. Without rows of both classes the model
-    has no features and its bias gives the (smoothed) share of toxic rows.
+    several labels counts as toxic if one says so. Of rows that share a doc_id each counts
+    for the ratios, and one, of the least list of features, for the coefficients. Without
+    rows of both classes, as with empty tables, the model has no features and its bias gives
+    the (smoothed) share of toxic rows.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # at most max_rows pairs of numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "_y")
+    n = known.count()
+    if n > max_rows:
+        # A threshold first, so that tasks send about max_rows rows in all, and then the limit.
+        place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
+        known = known.where(place < int((1 << 40) * min(1.0, 1.1 * max_rows / n + 1e-3))).orderBy(place, "_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(cut(known)), F.col("doc_id") == F.col("_id")).select("text", "_y", F.col("_id").cast("string").alias("_id"))
     found = cut(rows.mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     size = found.where("feature < 0").first()
     np_, nn_ = (size["pos"], size["neg"]) if size else (0, 0)
@@ -195,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_featu
     top.sort(key=lambda r: r["feature"])
     features = np.array([r["feature"] for r in top], np.int64)
     ratio = np.log((np.array([r["pos"] for r in top]) + _ALPHA) / (np_ + 2 * _ALPHA)) - np.log((np.array([r["neg"] for r in top]) + _ALPHA) / (nn_ + 2 * _ALPHA))
-    got = rows.mapInArrow(_design(features), "y int, x array<int>").toArrow()
+    design = rows.mapInArrow(_design(features), "id string, y int, x array<int>")
+    got = design.groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).orderBy("id").toArrow()  # max_rows rows at most
     x = got.column("x").combine_chunks()
     y = got.column("y").to_numpy().astype(float)
     cols = x.flatten().to_numpy().astype(np.int64)
@@ -207,8 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_featu
 def score(docs: DataFrame, model: ToxicityModel, *, out: str = "score") -> DataFrame:
     """`docs` with a column `out`: 0 to 1, higher where a toxic label is likelier.
 
-    Whole texts count. A null text has no n-grams, like an empty one: its score is that of
-    the bias. A column of the same name is replaced; all others pass unchanged.
+    Whole texts count; those of over 2 MB are taken in overlapping pieces. A null text has no
+    n-grams, like an empty one: its score is that of the bias. Repeated rows are scored alike,
+    an empty table gives an empty one. A column of the same name is replaced; all others pass
+    unchanged.
     """
     ship(docs.sparkSession)
     docs = docs.drop(out)
