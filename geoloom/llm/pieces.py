@@ -9,10 +9,17 @@ sampling draws, for all parts at once, an incoming edge in proportion to the wei
 paths through it. The draws are hashes of (seed, row key, number of the part, step): a row
 gets the same pieces wherever and whenever it is encoded. Pieces hold their spaces as such,
 a literal U+2581 goes through bytes, and so decoding gives every text back exactly.
+
+A part of many bytes, as texts without spaces have, is filtered alone, in blocks of bytes
+that carry the sums before them, in linear time and a few bytes of memory a byte. There a
+draw belongs to a place: the edge into each place is drawn at once, and the path follows the
+drawn edges back from the end.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -25,6 +32,8 @@ from ._env import free_name, ship, widened
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose parts share lattices.
 _CHUNK = 750_000
+#: Bytes of a part that is filtered alone, and bytes of its blocks.
+_LONG, _BLOCK = 4_096, 65_536
 #: Log weight of a byte piece.
 _BYTE = -16.0
 
@@ -68,6 +77,7 @@ class Pieces:
             if ids[node] < 0:
                 ids[node], logs[node] = i, -float(np.log(rank + 10))
         self.piece, self.log = np.array(ids, np.int32), np.array(logs)
+        self.longest = max([4, *(len(self.bytes[i]) for _, i in normal)])
         # The first two bytes are looked up directly, further ones in a hash table.
         self.one, self.two = np.zeros(256, np.int32), np.zeros(65_536, np.int32)
         for (node, c), to in children.items():
@@ -231,6 +241,83 @@ class _Lattice:
         return out, count
 
 
+def _edges(p: Pieces, data: np.ndarray, lo: int, hi: int, alpha: float):
+    """(start, end, piece, log weight) of the edges that begin in data[lo:hi], in the order of ends."""
+    byte = data[lo:hi]
+    size = 1 + (byte >= 0xC0).astype(np.int64) + (byte >= 0xE0) + (byte >= 0xF0)
+    covered = np.zeros(hi - lo, bool)
+    runs = []
+    at, node, depth = np.arange(lo, hi), p.one[byte], 1
+    while True:
+        fit = np.flatnonzero(node)
+        at, node = at[fit], node[fit]
+        ends = np.flatnonzero(p.piece[node] >= 0)
+        x, piece = at[ends], node[ends]
+        runs.append((x, x + depth, p.piece[piece], alpha * p.log[piece]))
+        covered[x[size[x - lo] == depth] - lo] = True
+        more = np.flatnonzero(at + depth < len(data))
+        at, node = at[more], node[more]
+        if not len(at):
+            break
+        nxt = data[at + depth]
+        node = p.two[data[at].astype(np.int64) * 256 + nxt] if depth == 1 else p.child(node, nxt)
+        depth += 1
+    lone = np.flatnonzero(((byte & 0xC0) != 0x80) & ~covered)
+    for k in range(4):
+        x = lone[size[lone] > k] + lo + k
+        runs.append((x, x + 1, p.byte[data[x]].astype(np.int32), np.full(len(x), alpha * _BYTE)))
+    start, end, piece, log = (np.concatenate(c) for c in zip(*runs, strict=True))
+    order = np.lexsort((start, end))
+    return start[order], end[order], piece[order], log[order]
+
+
+def _long(p: Pieces, data: np.ndarray, seed: np.uint64, alpha: float) -> np.ndarray:
+    """Pieces of one long part."""
+    n = len(data)
+    step, chosen = np.zeros(n + 1, np.int16), np.zeros(n + 1, np.int32)
+    before = [1.0]  # sums of the last places before a block; only their ratios count
+    for lo in range(0, n, _BLOCK):
+        hi = min(n, lo + _BLOCK)
+        first = max(0, lo - p.longest)
+        while first and data[first] & 0xC0 == 0x80:  # to the first byte of a character
+            first -= 1
+        start, end, piece, log = _edges(p, data, first, hi, alpha)
+        some = (end > lo) & (end <= hi)
+        start, piece, log, end = start[some], piece[some], log[some], end[some]
+        with np.errstate(over="ignore"):
+            draws = (W.mix(seed + np.arange(lo + 1, hi + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(11)) * 2.0**-53
+        bounds = np.searchsorted(end, np.arange(lo + 1, hi + 2)).tolist()
+        s, w, u = (start - first).tolist(), np.exp(np.maximum(log, -200.0)).tolist(), draws.tolist()
+        sums = [0.0] * (lo - first + 1 - len(before)) + before[-(lo - first + 1) :]
+        picked = []
+        for j in range(hi - lo):
+            a, z = bounds[j], bounds[j + 1]
+            values = [sums[s[e]] * w[e] for e in range(a, z)]
+            total = sum(values)
+            rest, e = u[j] * total, a
+            for v in values[:-1]:
+                rest -= v
+                if rest < 0.0:
+                    break
+                e += 1
+            picked.append(e if z > a else -1)
+            sums.append(total)
+            if 0.0 < total < 1e-30:
+                k = len(sums) - 1 - p.longest
+                scale = 2.0 ** -math.frexp(total)[1]
+                sums[max(0, k) :] = [x * scale for x in sums[max(0, k) :]]
+        at = np.array(picked)
+        into = np.flatnonzero(at >= 0)
+        step[lo + 1 + into] = end[at[into]] - start[at[into]]
+        chosen[lo + 1 + into] = piece[at[into]]
+        before = sums[-(p.longest + 4) :]
+    out, at = [], n
+    while at:
+        out.append(chosen[at])
+        at -= int(step[at])
+    return np.array(out[::-1], np.int32)
+
+
 def _encode(p: Pieces, data: np.ndarray, rows: np.ndarray, key: np.ndarray, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows, offsets of rows in them)."""
     n = len(rows) - 1
@@ -247,13 +334,25 @@ def _encode(p: Pieces, data: np.ndarray, rows: np.ndarray, key: np.ndarray, alph
         return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
     part = np.searchsorted(lo, begins)  # first part of each row that has any
     row = np.repeat(np.arange(len(full)), np.diff(np.append(part, len(lo))))
-    _, one, which = np.unique(W.runs_hash(text, lo, hi), return_index=True, return_inverse=True)
-    lattice = _Lattice(p, text, lo[one], hi[one], alpha)
     with np.errstate(over="ignore"):
         of_row = W.mix(key[full] + np.uint64(seed) * np.uint64(0xD6E8FEB86659FD93))
         mine = W.mix(of_row[row] + (np.arange(len(lo)) - part[row]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ids, count = lattice.sample(which, mine)
+    short = hi - lo <= _LONG
+    slo, shi = lo[short], hi[short]
+    _, one, which = np.unique(W.runs_hash(text, slo, shi), return_index=True, return_inverse=True) if len(slo) else (None, slo, slo)
+    ids, short_count = _Lattice(p, text, slo[one], shi[one], alpha).sample(which, mine[short]) if len(slo) else (np.zeros(0, np.int32), slo)
+    count = np.zeros(len(lo), np.int64)
+    count[short] = short_count
+    alone = {i: _long(p, text[lo[i] : hi[i]], mine[i], alpha) for i in np.flatnonzero(~short).tolist()}
+    for i, got in alone.items():
+        count[i] = len(got)
     of = np.concatenate([[0], np.cumsum(count)])
+    if alone:
+        every = np.zeros(int(of[-1]), np.int32)
+        every[np.repeat(short, count)] = ids
+        for i, got in alone.items():
+            every[of[i] : of[i + 1]] = got
+        ids = every
     per_row = np.zeros(n, np.int64)
     per_row[full] = np.diff(of[np.append(part, len(lo))])
     return ids, np.concatenate([[0], np.cumsum(per_row)])
@@ -297,7 +396,8 @@ def encode(docs: DataFrame, *, key: Column | str = "doc_id", model: str = MODEL,
 
     key: what seeds a row's draws; rows of equal keys and texts get equal pieces, null keys
     count as one more value. alpha: the power of the weights, 0 for all paths alike, large
-    for the heaviest path. A null text has null ids and 0 tokens; an empty one no ids.
+    for the heaviest path. A null text has null ids and 0 tokens; an empty one no ids; an
+    empty table gives an empty one. Time and memory grow with a text's bytes, spaces or not.
     verify: adds decoded, the text that the ids give back. Columns of these names are
     replaced, all others pass unchanged.
     """

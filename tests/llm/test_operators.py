@@ -278,7 +278,7 @@ def test_pieces_round_trip_and_repeat(spark, docs):
     assert pieces.encode(empty(docs)).count() == 0
 
 
-def test_pieces_follow_the_lattice(spark):
+def test_pieces_follow_the_lattice(spark, monkeypatch):
     """Frequencies of sampled segmentations against the weights of all paths."""
     p = pieces.Pieces()
     word = b" there"
@@ -296,13 +296,31 @@ def test_pieces_follow_the_lattice(spark):
 
     walk(0, [], 0.0)
     n = 20_000
+    with monkeypatch.context() as m:  # a part that is filtered alone, in blocks that no piece keeps to
+        m.setattr(pieces, "_BLOCK", 2)
+        of = np.frombuffer(word, np.uint8)
+        alone = collections.Counter(tuple(pieces._long(p, of, np.uint64(7919 * i + 1), 1.0).tolist()) for i in range(n))
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("there").alias("text"))
     seen = collections.Counter(tuple(r[0]) for r in pieces.encode(rows).select("token_ids").collect())
     total = sum(paths.values())
-    assert set(seen) <= set(paths)
-    for ids, w in paths.items():
-        share = w / total
-        assert abs(seen[ids] / n - share) < 5 * np.sqrt(share / n) + 1e-3
+    for found in (seen, alone):
+        assert set(found) <= set(paths)
+        for ids, w in paths.items():
+            share = w / total
+            assert abs(found[ids] / n - share) < 5 * np.sqrt(share / n) + 1e-3
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1.0, 8.0])
+def test_pieces_of_texts_without_spaces(spark, alpha):
+    rng = np.random.default_rng(2)
+    cjk = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 70_000)))
+    odd = "".join(rng.choice(list("aé漢😀\x00▁the\n"), 30_000))
+    rows = [(i, f"{a} {b}") for i, (a, b) in enumerate([(cjk, "x"), ("a", odd), ("a" * 200_000, " " * 100), (odd[:4_096], odd[:4_097])])]
+    df = spark.createDataFrame([*rows, *rows[:1], (None, cjk)], "doc_id long, text string")
+    out = pieces.encode(df, alpha=alpha, verify=True).collect()
+    assert len(out) == 6 and all(r["decoded"] == r["text"] for r in out)
+    one, two = (r["token_ids"] for r in out if r["doc_id"] == 0)
+    assert one == two and one != next(r["token_ids"] for r in out if r["doc_id"] is None)
 
 
 def test_token_counts(spark, docs, tmp_path):
