@@ -1,8 +1,10 @@
 """Removal of repeated passages: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
 Every window's hash goes to the bucket of its leading bits, together with the number of the
-block of documents that it comes from. A task sends a hash once for each block, and twice if
-it saw it twice, so that a passage in many documents costs no more rows than one in two.
+block of documents that it comes from. A hash that a task has seen twice among some millions
+of windows is known to be repeated: its bucket is told so once, whatever the number of its
+places, and the answers for its blocks travel apart, dealt evenly over all buckets. So a
+passage in a third of all documents costs its buckets one entry for each of those millions.
 Buckets find the hashes that came more than once and send them back to their blocks; there
 the documents are hashed again, windows with a repeated hash are marked and overlapping ones
 merge into maximal intervals. Hashes travel in byte strings of 8 bytes each; texts are
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +24,13 @@ from ._env import free_name, ship, widened
 
 _WORD_BASE = 0xD6E8FEB86659FD93
 #: A task sends what it has hashed after so many windows.
-_FLUSH = 1_000_000
+_FLUSH = 3_000_000
+#: Block of an entry that only says that its hash is repeated.
+_TOLD = -1
 
 
-def _unique(h: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each (hash, block) once; twice where the hash came more than once, all in that block."""
+def _unique(h: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, block) of entries for buckets, and of answers that are known: each of a repeated hash's blocks once."""
     order = np.argsort(h)
     h, block = h[order], block[order]
     same = h[1:] == h[:-1]
@@ -33,15 +38,12 @@ def _unique(h: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     many[1:] |= same
     many[:-1] |= same
     hm, bm = h[many], block[many]
-    order = np.lexsort((bm, hm))
+    order = np.lexsort((hm, bm))
     hm, bm = hm[order], bm[order]
-    if len(hm):
-        fresh_h = np.append(True, hm[1:] != hm[:-1])
-        fresh = fresh_h | np.append(True, bm[1:] != bm[:-1])
-        blocks = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(fresh_h))
-        times = np.repeat(np.where(blocks == 1, 2, 1), np.diff(np.append(np.flatnonzero(fresh_h), len(hm))))
-        hm, bm = np.repeat(hm[fresh], times[fresh]), np.repeat(bm[fresh], times[fresh])
-    return np.concatenate([h[~many], hm]), np.concatenate([block[~many], bm])
+    fresh = np.ones(len(hm), bool)
+    fresh[1:] = (hm[1:] != hm[:-1]) | (bm[1:] != bm[:-1])
+    told = np.unique(hm)
+    return np.concatenate([h[~many], told]), np.concatenate([block[~many], np.full(len(told), _TOLD, block.dtype)]), hm[fresh], bm[fresh]
 
 
 def _window_hashes(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +52,18 @@ def _window_hashes(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(size: int, buckets: int):
-    def rows(h, block):
-        h, block = _unique(np.concatenate(h), np.concatenate(block))
+    def rows(h, block, place):
+        h, block, known, of = _unique(np.concatenate(h), np.concatenate(block))
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((block, bucket))
-        h, block, bucket = h[order], block[order], bucket[order]
+        yield from packed(h[order], block[order], bucket[order], False)
+        # Answers go by any bucket; a run of them is about a bucket's share of these windows.
+        step = max(1, -(-len(known) // buckets), 1 << 12)
+        yield from packed(known, of, (place + np.arange(len(known)) // step) % buckets, True)
+
+    def packed(h, block, bucket, known):
+        if not len(h):
+            return
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(cut[1:], len(h))
         runs = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
@@ -67,11 +76,14 @@ def _send(size: int, buckets: int):
                 "hashes": pa.array([h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
                 "blocks": pa.array([blocks[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
                 "lens": pa.array([lens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
+                "known": np.full(len(cut), known),
             }
         )
 
     def run(batches):
-        h, block, held = [], [], 0
+        from pyspark import TaskContext
+
+        h, block, held, place = [], [], 0, TaskContext.get().partitionId() * 7_919
         for b in batches:
             of_row = b.column(0).to_numpy()
             for at, end, data, offsets in W.chunks(b.column(1)):
@@ -82,26 +94,28 @@ def _send(size: int, buckets: int):
                     block.append(of_row[at:end][np.searchsorted(w.first, first, side="right") - 1].astype(np.int32))
                     held += len(x)
                 if held >= _FLUSH:
-                    yield from rows(h, block)
-                    h, block, held = [], [], 0
+                    yield from rows(h, block, place)
+                    h, block, held, place = [], [], 0, place + 104_729
         if held:
-            yield from rows(h, block)
+            yield from rows(h, block, place)
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block, those of its hashes that came more than once."""
-    get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    h = get("hashes", np.uint64)
-    block = np.repeat(get("blocks", np.int32), get("lens", np.int32))
+    """Of one bucket: for each block, those of its hashes that came more than once, and the known answers."""
+    get = lambda name, kind, rows: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+    entries = lambda rows: (get("hashes", np.uint64, rows), np.repeat(get("blocks", np.int32, rows), get("lens", np.int32, rows)))
+    h, block = entries(table.filter(pa.compute.invert(table.column("known"))))
     order = np.argsort(h)
     h, block = h[order], block[order]
     same = h[1:] == h[:-1]
     many = np.zeros(len(h), bool)
     many[1:] |= same
     many[:-1] |= same
-    h, block = h[many], block[many]
+    many &= block != _TOLD
+    known, of = entries(table.filter(table.column("known")))
+    h, block = np.concatenate([h[many], known]), np.concatenate([block[many], of])
     order = np.lexsort((h, block))
     h, block = h[order], block[order]
     fresh = np.ones(len(h), bool)
@@ -187,8 +201,10 @@ def repeats(docs: DataFrame, *, window: int = 35) -> DataFrame:
     removed: maximal intervals of such words (first, end; from 0); kept: the other words,
     joined by one space. Words are runs between ASCII white space, unchanged; a null text
     has none, and texts of fewer words than a window lose none. Repeated rows are documents
-    of their own. Columns of these names are replaced, all others pass unchanged. Windows
-    are compared by 64-bit hashes.
+    of their own; an empty table gives an empty one. Columns of these names are replaced, all
+    others pass unchanged. Windows are compared by 64-bit hashes: among n different windows
+    a given one is wrongly held for repeated with a chance of about n / 1.8e19, one in two
+    million for 10**13 windows. A long text is one task's, with some tens of bytes a word.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -200,7 +216,7 @@ def repeats(docs: DataFrame, *, window: int = 35) -> DataFrame:
     block, kind, found = (free_name(x, taken) for x in ("_block", "_kind", "_found"))
     key = [F.col(c) for c in ("doc_id", "text") if c in taken]
     numbered = docs.select(F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int").alias(block), F.lit(1).alias(kind), F.lit(None).cast("binary").alias(found), *[docs[c] for c in taken])
-    sent = numbered.select(block, "text").mapInArrow(_send(window, buckets), "bucket long, hashes binary, blocks binary, lens binary")
+    sent = numbered.select(block, "text").mapInArrow(_send(window, buckets), "bucket long, hashes binary, blocks binary, lens binary, known boolean")
     back = sent.groupBy("bucket").applyInArrow(_repeated, "block int, found binary")
     back = back.select(F.col("block").alias(block), F.lit(0).alias(kind), F.col("found").alias(found), *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
     both = back.union(numbered).repartition(block).sortWithinPartitions(block, kind)

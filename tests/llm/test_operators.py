@@ -74,6 +74,27 @@ def test_repeated_rows_are_documents_of_their_own(spark):
     assert sorted((r[0] or 0, r[1]) for r in got) == [(0, 0), (1, 40), (1, 40)]
 
 
+def test_a_passage_in_every_document_stays_out_of_buckets(monkeypatch):
+    """One passage in 2,000 documents of a block each: its buckets get one entry a flush, not one a document."""
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 3))
+    passage = prose(2, 60)
+    texts = [f"{prose(10 + i, 40)} {passage}" for i in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2_000), pa.int32()), pa.array(texts)], ["b", "text"])
+    sent = pa.Table.from_batches(substrings._send(35, 16)([batch]))
+    n = sum(len(x) // 8 for x in sent.filter(pa.compute.invert(sent.column("known"))).column("hashes").to_pylist())
+    seen = collections.Counter(" ".join(t.split()[i : i + 35]) for t in texts for i in range(len(t.split()) - 34))
+    repeated = sum(k for k in seen.values() if k > 1)
+    assert n == len(seen) and repeated >= 2_000 * 26
+    known = sent.filter(sent.column("known"))
+    assert sum(len(x) // 8 for x in known.column("hashes").to_pylist()) == repeated and len(set(known.column("bucket").to_pylist())) > 8
+    found = substrings._repeated(sent)
+    assert sum(len(x) // 8 for x in found.column("found").to_pylist()) == repeated
+
+
 def fingerprint(text):
     w = SPACED.findall(low(text))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
