@@ -273,6 +273,39 @@ def test_decontamination(spark, docs, block, monkeypatch):
         assert len({p for m in r["matches"] for p in range(m["first"], m["end"])}) == r["n_hit"]
 
 
+def test_suffix_array_is_sorted_and_matches_are_longest():
+    from geoloom.llm import _words as W
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], int(n))) for n in rng.integers(0, 60, 30)]
+    items = [(str(i), " ".join(rng.choice(["a", "b", "c", "d"], int(n)))) for i, n in enumerate(rng.integers(1, 30, 40))] + [("long", texts[3] + " e " + texts[5]), ("same", texts[3])]
+    w = W.split(*W.buffers(__import__("pyarrow").array(texts)), "alnum", True)
+    block = decontamination.Block.of(items)
+    array = decontamination.SuffixArray(w, 130)
+    assert sorted(array.order.tolist()) == list(range(len(w) + len(texts)))
+    tails = []
+    for x in array.order.tolist():
+        end = x + int(np.flatnonzero(array.text[x:] == 0)[0])
+        tails.append(array.text[x:end].tolist())
+    assert tails == sorted(tails)
+    row, first, end, suffix, of_row, item = decontamination._search(array, block, 4)
+    got = {(int(r), int(f)): int(e - f) for r, f, e in zip(row, first, end, strict=True)}
+    want, named = {}, set()
+    for r, t in enumerate(texts):
+        a = t.split()
+        for i in range(len(a)):
+            for k, (_, u) in enumerate(items):
+                b = u.split()
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if n >= min(4, len(b)) and len(b) - j >= min(4, len(b)):
+                        want[r, i] = max(want.get((r, i), 0), n)
+                        named.add((r, k))
+    assert got == want and set(zip(of_row.tolist(), item.tolist(), strict=True)) == named
+
+
 def test_decontamination_without_items_or_documents(spark, docs):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(docs, items).where("n_hit > 0").count() == 0
