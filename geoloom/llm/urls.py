@@ -19,7 +19,9 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 ORDER = 3
 #: Size of the alphabet of the lowest order.
 ALPHABET = 256.0
-#: A model table of so many rows is broadcast (some 10 MB); a larger one is joined by shuffles.
+#: A model table of so many rows is broadcast (some 10 MB). Of a larger one, those n-grams are that
+#: make up more than one in so many of all positions; so they are fewer. All others are joined by
+#: shuffles, in which no key then has a larger share.
 BROADCAST_ROWS = 200_000
 BEGIN, END = "\x02", "\x03"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,7 +99,8 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     host and path, which the models judge like any other. Without ruled URLs of both kinds
     the threshold is 0. Three in sixteen of the ruled URLs, by digest, are left out of the
     counts and set the threshold: the least that reaches the best mean of both kinds' shares.
-    Columns of these names are replaced, all others pass unchanged.
+    Rows that share a page_id are judged by themselves, an empty table gives an empty one; a
+    long URL makes a row for each character. Columns of these names are replaced, all others pass unchanged.
     """
     out = ["host", "path", "rule", "verdict", "score"]
     pages = pages.drop(*out)
@@ -114,9 +117,17 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     taught = _positions(texts.where("v is not null and not held"), "v", "n").groupBy("g").agg(*[F.sum(F.when(F.col("v") == v, F.col("n")).otherwise(0)).alias(x) for v, x in (("allow", "a"), ("block", "b"))])
     scored = texts.where("v is null or held")
     at = _positions(scored)
-    ratio = cut(model(cut(taught), at.groupBy("g").agg(F.count("*").alias("n"))))
-    small = ratio.count() <= BROADCAST_ROWS
-    sums = at.join(F.broadcast(ratio) if small else ratio, "g").groupBy("s").agg(F.sum("llr").alias("llr"))
+    asked = cut(at.groupBy("g").agg(F.count("*").alias("n")))
+    size = asked.agg(F.count("*").alias("grams"), F.sum("n").alias("positions")).first()
+    ratio = cut(model(cut(taught), asked))
+    if size["grams"] <= BROADCAST_ROWS:
+        told = at.join(F.broadcast(ratio), "g").select("s", "llr")
+    else:
+        hot = ratio.join(asked.where(F.col("n") > size["positions"] / max(1, BROADCAST_ROWS)).select("g"), "g", "left_semi")
+        first = at.join(F.broadcast(hot), "g", "left")
+        rest = first.where("llr is null").drop("llr").join(ratio, "g")
+        told = first.where("llr is not null").select("s", "llr").unionByName(rest.select("s", "llr"))
+    sums = told.groupBy("s").agg(F.sum("llr").alias("llr"))
     score = F.round(F.col("llr") / (F.length("s") - 1), DIGITS)
     scores = cut(sums.select("s", score.alias("score")))
     held = scored.where("held").join(scores.withColumnRenamed("s", "s2"), F.col("s") == F.col("s2"))
