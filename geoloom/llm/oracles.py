@@ -88,3 +88,25 @@ e AS (SELECT coalesce(min(bin) FILTER (gain > (SELECT max(gain) FROM f) - 1e-12)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN z.score >= e.threshold THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN ruled IS NULL THEN z.score END AS score
 FROM r LEFT JOIN z USING (s), e
 """
+
+
+def op2(templates, base: int, coverage: float = 0.8) -> str:
+    """All places of key phrases, and the share of each template's words that stand round them."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for i, t in enumerate(templates):
+        words, key = t.words, t.key.split()
+        at = next(k for k in range(len(words)) if words[k : k + len(key)] == key)
+        rows.append(f"({i < base}, '{t.label}', {quoted(words)}, {quoted(key)}, {at})")
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(base, label, x, key, k)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_low("text")}, {_ALNUM}) AS w FROM documents),
+p AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+a AS (SELECT p.r, p.p - t.k AS s, t.* FROM p JOIN t ON p.word = t.key[1]),
+f AS (SELECT a.r, a.base, a.label, a.s, list_sum(list_transform(range(0, len(a.x)), lambda i: CASE WHEN a.s + i >= 1 AND d.w[a.s + i] = a.x[i + 1] THEN 1 ELSE 0 END)) / len(a.x) AS share
+      FROM a JOIN d ON a.r = d.r WHERE d.w[a.s + a.k : a.s + a.k + len(a.key) - 1] = a.key),
+m AS (SELECT r, CAST(count(*) FILTER (base) AS BIGINT) AS n, CAST(min(s) FILTER (base) - 1 AS BIGINT) AS lo, CAST(max(s) FILTER (base) - 1 AS BIGINT) AS hi,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(share) AS share FROM f WHERE share >= {coverage} GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(b, '') AS base_labels, coalesce(l, '') AS labels, CAST(coalesce(share, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN m USING (r)
+"""

@@ -72,6 +72,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embeddings": oracles.OP1,
+        "op2_licenses": oracles.op2(licenses.BASE + licenses.TEMPLATES, len(licenses.BASE)),
         "op5_substrings": oracles.OP5,
         "op6_urls": oracles.op6(urls.RULES, urls.ORDER, urls.ALPHABET, urls.BINS, urls.DIGITS),
         "op8_decontamination": oracles.OP8,

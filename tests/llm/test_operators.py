@@ -427,7 +427,7 @@ def test_licenses(docs):
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     for i, t in corpus():
         w = ALNUM.findall(low(t))
-        places = [(k, p.label) for p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.text.split())] == p.text.split()]
+        places = [(k, p.label) for p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.words)] == p.words]
         r = got[i]
         starts = [k for k, _ in places]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(starts, default=None), max(starts, default=None)), i
@@ -435,7 +435,7 @@ def test_licenses(docs):
         labels = {x for _, x in places}
         score = float(bool(places))
         for p in licenses.TEMPLATES:
-            text, key = p.text.split(), p.key.split()
+            text, key = p.words, p.key.split()
             off = next(k for k in range(len(text)) if text[k : k + len(key)] == key)
             for k in range(-len(text), len(w)):
                 agree = sum(0 <= k + j < len(w) and w[k + j] == text[j] for j in range(len(text))) / len(text)
@@ -447,6 +447,23 @@ def test_licenses(docs):
     assert licenses.scan(empty(docs)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """Each text is found under its own label, alone and with words changed inside others; half of it is not."""
+    rows = []
+    for i, t in enumerate(licenses.TEXTS):
+        w = t.text.split()
+        changed = [x if k % 40 != 39 or x.lower().strip(".,") in t.key else "changed" for k, x in enumerate(w)]
+        rows += [(i, t.text), (100 + i, f"{prose(i, 50)} {' '.join(changed).upper()} {prose(i, 20)}"), (200 + i, " ".join(w[: len(w) // 3]))]
+    df = spark.createDataFrame([*rows, (None, licenses.TEXTS[0].text), (None, licenses.TEXTS[0].text), (300, "the of software " * 100_000)], "doc_id long, text string")
+    out = licenses.scan(df).collect()
+    got = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
+    for i, t in enumerate(licenses.TEXTS):
+        assert t.label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, t.label
+        assert t.label in got[100 + i]["labels"].split(","), t.label
+        assert not any(x["share"] < 0.8 for x in got[200 + i]["spans"])
+    assert got[300]["labels"] == "" and [r["labels"] for r in out if r["doc_id"] is None] == [got[0]["labels"]] * 2
+
+
 def test_urls(spark):
     cases = {
         "http://Shop.EXAMPLE.com/en/1?x": ("shop.example.com", "/en/1", "example.com/en/", "block"), "https://www.example.com/en/2": ("www.example.com", "/en/2", "www.example.com/en/", "allow"),
@@ -462,6 +479,15 @@ def test_urls(spark):
     assert urls.judge(empty(rows)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [0, 3, 50])
+def test_urls_beyond_broadcasts(spark, monkeypatch, rows):
+    """However few n-grams may be broadcast, the scores are the same."""
+    pages = spark.createDataFrame([(i, f"https://h{i % 7}.{'com' if i % 3 else 'net'}/{'es' if i % 2 else 'xy'}/{i}") for i in range(120)] + [(None, None), (5, "u"), (5, "u")], "page_id long, url string")
+    want = sorted(map(str, urls.judge(pages).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", rows)
+    assert sorted(map(str, urls.judge(pages).collect())) == want
+
+
 def test_url_scores_against_brute_force(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdegh"), rng.integers(2, 6)))
