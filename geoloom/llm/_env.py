@@ -21,18 +21,25 @@ def ship(spark: SparkSession) -> None:
     session.ship(spark)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+    """A path that does not exist yet, below the shared folder; it is deleted when the driver ends."""
     import uuid
 
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parent, fs = _folder(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs.mkdirs(parent)
+    fs.deleteOnExit(parent)
+    return f"{parent.toString()}/data"
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that scratch() gave."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a path that scratch() gave, when nothing reads it any more."""
+    parent, fs = _folder(spark, path.rpartition("/")[0])
+    fs.delete(parent, True)
 
 
 def free_name(wanted: str, taken) -> str:

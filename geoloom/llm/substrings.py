@@ -230,10 +230,11 @@ def cut_repeats(docs: DataFrame, *, window: int = 35) -> DataFrame:
     Texts that lose nothing stay as they are, white space included; what is left of others
     is joined by single spaces. A column n_chars, if there is one, follows the new text.
     """
-    names = docs.columns
-    found = repeats(docs, window=window)
+    own = ("n_words", "n_removed", "removed", "kept")
+    aside = {c: free_name(f"_{c}", docs.columns) for c in docs.columns if c in own}
+    found = repeats(docs.withColumnsRenamed(aside), window=window)
     cut = F.col("n_removed") > 0
     changed = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text"))}
-    if "n_chars" in names:
+    if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*names)
+    return found.withColumns(changed).drop(*own).withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)

@@ -45,6 +45,30 @@ def test_stages_act(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None and np.isfinite(len(out))
 
 
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, and columns that stages use themselves."""
+    d = f"file://{tmp_path}/odd"
+    texts = [(None, prose(1, 50)), (None, None), (1, None), (2, ""), (3, " \n\t"), (4, prose(2, 20_000)), (5, prose(3, 60)), (5, prose(3, 60)), (5, prose(4, 60)), (6, "x" * 100_000), (7, "one"), (8, prose(3, 60)), (9, " " * 50_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, n_hit string, score double, token_ids string, fingerprint int, component_id int, _toxicity int, removed int"
+    docs = spark.createDataFrame([(i, t, None, "s", None, 11, "12", 0.5, "t", 3, 4, 5, 6) for i, t in texts], schema)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (6, 1, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "one"), (None, prose(9, 20)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, d)
+        assert now.columns == docs.columns
+        assert {(r["kept"], r["n_hit"], r["score"], r["removed"], r["_toxicity"]) for r in now.collect()} == {(11, "12", 0.5, 6, 5)}
+    left = [r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()]
+    # 2, 3 and 9 equal 1, which has no words either; 8 and one text of 5 are equal; 7 is a benchmark item.
+    assert sorted(i or 0 for i in left) == [0, 0, 1, 4, 5, 5, 5, 6]
+    none = f"file://{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
 def test_every_operator_has_one_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
