@@ -36,12 +36,16 @@ def ship(spark: SparkSession | None = None) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) a local one is set.
+    Only a local session that names none (as in tests) gets a local one; on a cluster its
+    executors could not read each other's.
     """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
-    named = named or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     if not known.isDefined():
         sc.setCheckpointDir(named)
     return named
