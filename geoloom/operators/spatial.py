@@ -1,25 +1,28 @@
 """Containment, hierarchy, admin chains, intersections and nearest neighbours.
 
-Polygons become an index of grid cells: a row for each cell lists the polygons that cover it,
-with those edges only that lie in the cell's latitudes, or with none where the cell lies
-wholly inside. A point looks up the one cell it is in and tests the listed polygons in place,
-so points are joined once, get an array of hits, and need no further shuffle for chains,
-smallest containing areas or statistics. The index is broadcast if a bound on its size,
-computed from the polygons, is small; otherwise both sides are shuffled by cell, and AQE may
-split crowded cells.
+Polygons become an index of grid cells: each cell lists the polygons that cover it, with those
+edges only that lie in the cell's latitudes, or with none where the cell lies wholly inside.
+A point looks up the one cell it is in and tests the listed polygons in place, so points get
+an array of hits, and need no further shuffle for chains, smallest containing areas or
+statistics. If all rings together are small, which a count of their vertices tells first, the
+index is broadcast as arrays and batches of points are tested at once (grid.py). Otherwise
+it is a table, both sides are shuffled by cell, and AQE may split crowded cells.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geo
-from ..session import cut
+from ..session import cut, ship
+from .grid import CELLS_PER_POLYGON, SIZES, Grid
 
-#: Cell sizes to choose from, and how many cells a polygon may take on average.
-SIZES = tuple(50_000 << i for i in range(11))
-CELLS_PER_POLYGON = 64
+#: Bytes of rings, at 64 a vertex, that the driver may hold and broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -72,12 +75,126 @@ def cell_size(polys: DataFrame) -> tuple[int, int]:
     return size, row[f"b{size}"] or 0
 
 
+def small(polys: DataFrame) -> bool:
+    """Whether the rings may be broadcast; one row tells."""
+    row = polys.agg(F.count("*").alias("n"), F.sum(F.size("ring").cast("long")).alias("vertices")).first()
+    return 64 * ((row["vertices"] or 0) + 4 * row["n"]) <= BROADCAST_BYTES
+
+
+def _parents(known: pa.Table) -> np.ndarray:
+    """The row of each polygon's parent, -1 without one."""
+    node, up = known.column("node_id").to_numpy(), known.column("parent_id").fill_null(0).to_numpy()
+    if not len(node):
+        return np.zeros(0, np.int64)
+    order = np.argsort(node)
+    return np.where(known.column("parent_id").is_null().to_numpy(), -1, order[np.minimum(np.searchsorted(node[order], up), len(node) - 1)])
+
+
+def _grid_hits(grid, known: pa.Table, kind: pa.DataType, lat: int, lon: int, names: list[str], chains: bool):
+    def run(batches):
+        parent = _parents(known) if chains else None
+        levels = known.to_struct_array()
+        levels = levels.combine_chunks() if isinstance(levels, pa.ChunkedArray) else levels
+        levels = levels.cast(kind)
+        for b in batches:
+            place, poly = _places(grid.value, b.column(lat), b.column(lon))
+            lists = []
+            for i, p in ((place, poly), *([grid.value.chains(place, poly, parent, len(geo.TIERS))] if chains else ())):
+                offsets = np.searchsorted(i, np.arange(b.num_rows + 1))
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), levels.take(pa.array(p))))
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], [*names, "hits", "_chain"][: len(names) + len(lists)])
+
+    return run
+
+
+def _places(grid: Grid, y: pa.Array, x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hits of all rows; rows with a null have none."""
+    valid = y.is_valid().to_numpy(zero_copy_only=False) & x.is_valid().to_numpy(zero_copy_only=False)
+    place, poly = grid.hits(*(v.fill_null(0).to_numpy() for v in (y, x)))
+    keep = valid[place]
+    return place[keep], poly[keep]
+
+
+#: What attach_admin() looks up: names of tiers along the chain, and of the smallest area of a level.
+_LEVELS = (2, 4, 8, 10, 9, 11)
+_FOUND = (*(f"_in_{t}" for t in ("country", "state", "city", "suburb")), *(f"_at_{x}" for x in _LEVELS))
+
+
+def _grid_names(grid, known: pa.Table, lat: int, lon: int, names: list[str]):
+    """Rows with _FOUND and chain, for a broadcast index."""
+
+    def run(batches):
+        parent, name = _parents(known), known.column("name").combine_chunks().cast(pa.string())
+        named = name.is_valid().to_numpy(zero_copy_only=False)
+        node, level, area = (known.column(c).to_numpy() for c in ("node_id", "level", "area2"))
+        tier = np.array(known.column("tier").to_pylist(), object)
+        for b in batches:
+            place, poly = _places(grid.value, b.column(lat), b.column(lon))
+            deep, link = grid.value.chains(place, poly, parent, len(geo.TIERS))
+
+            def first(p, x):
+                out = np.full(b.num_rows, -1)  # noqa: B023
+                at, one = np.unique(p, return_index=True)
+                out[at] = x[one]
+                return name.take(pa.array(out, mask=out < 0))  # noqa: B023
+
+            found = []
+            for t in TIER_NAMES:
+                some = np.flatnonzero((tier[link] == t) & named[link])
+                some = some[::-1] if t == "suburb" else some  # the deepest one
+                found.append(first(deep[some], link[some]))
+            for x in _LEVELS:
+                some = np.flatnonzero(level[poly] == x)
+                some = some[np.lexsort((node[poly[some]], area[poly[some]], place[some]))]
+                found.append(first(place[some], poly[some]))
+            offsets = np.searchsorted(deep, np.arange(b.num_rows + 1))
+            found.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(node[link], pa.int64())))
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*names, *_FOUND, "chain"])
+
+    return run
+
+
+def _with_names(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`points` with _FOUND and chain."""
+    points = points.drop(*_FOUND, "chain")
+    if small(nodes):
+        table, grid = _broadcast(nodes, ("parent_id", "tier", "name", "area2"), geo.inside)
+        more = [*[T.StructField(c, T.StringType()) for c in _FOUND], T.StructField("chain", T.ArrayType(T.LongType()))]
+        run = _grid_names(grid, table, points.columns.index("lat_e7"), points.columns.index("lon_e7"), points.columns)
+        return points.mapInArrow(run, T.StructType([*points.schema.fields, *more]))
+    rows = with_chain(points, nodes, "tier", "name", "area2")
+    named = lambda t: F.filter("_chain", lambda h: (h["tier"] == t) & h["name"].isNotNull())
+    rows = rows.withColumns({f"_in_{t}": F.try_element_at(named(t), F.lit(-1 if t == "suburb" else 1))["name"] for t in TIER_NAMES})
+    rows = rows.withColumns({f"_at_{x}": smallest(F.col("hits"), x)["name"] for x in _LEVELS})
+    return rows.withColumn("chain", F.transform("_chain", lambda h: h["node_id"])).drop("hits", "_chain")
+
+
+def _broadcast(polys: DataFrame, fields, test) -> tuple[pa.Table, object]:
+    """The polygons in the order of hits, and their index."""
+    ship(polys.sparkSession)
+    table = polys.select("level", "node_id", *fields, "ring").toArrow()  # small() bounds it
+    order = np.lexsort((table.column("node_id").to_numpy(), table.column("level").to_numpy()))
+    table = table.take(pa.array(order))
+    grid = polys.sparkSession.sparkContext.broadcast(Grid(table.column("ring"), degrees=test is not geo.inside))
+    return table.drop_columns(["ring"]), grid
+
+
+def _with_grid(points: DataFrame, polys: DataFrame, fields, test, lat: str, lon: str, chains: bool = False) -> DataFrame:
+    table, grid = _broadcast(polys, fields, test)
+    hit = T.StructType([polys.schema[f] for f in ("level", "node_id", *fields)])
+    names = points.columns
+    run = _grid_hits(grid, table, to_arrow_type(hit), names.index(lat), names.index(lon), names, chains)
+    more = [T.StructField(c, T.ArrayType(hit)) for c in ("hits", "_chain")[: 1 + chains]]
+    return points.mapInArrow(run, T.StructType([*points.schema.fields, *more]))
+
+
 def with_hits(points: DataFrame, polys: DataFrame, *fields: str, test=geo.inside, lat: str = "lat_e7", lon: str = "lon_e7") -> DataFrame:
     """`points` with hits: the polygons that contain each, ordered by level and node_id."""
-    size, most = cell_size(polys)
+    points = points.drop("hits")
+    if small(polys):
+        return _with_grid(points, polys, fields, test, lat, lon)
+    size, _ = cell_size(polys)
     built = index(polys, *fields, size=size)
-    if most <= BROADCAST_BYTES:
-        built = F.broadcast(built)
     rows = points.withColumns({"cy": _cell(F.col(lat), size), "cx": _cell(F.col(lon), size)}).join(built, ["cy", "cx"], "left")
     y, x = (F.col(lat), F.col(lon)) if test is geo.inside else (geo.from_e7(F.col(lat)), geo.from_e7(F.col(lon)))
 
@@ -106,13 +223,15 @@ def smallest(hits: Column, level: int, by: str = "area2") -> Column:
 def hierarchy(polys: DataFrame) -> DataFrame:
     """`polys` with parent_id: of the areas of a lower level that contain the first vertex,
     the one of highest level, then least area, then least node_id."""
-    polys = cut(polys)  # few beside the points, and read several times
+    few = small(polys)
+    # Few beside the points, and read several times: kept by the driver or in the shared folder.
+    polys = polys.sparkSession.createDataFrame(polys.toArrow(), polys.schema) if few else cut(polys)
     reps = polys.withColumns({"rep_lat": F.col("ring")[0]["lat"], "rep_lon": F.col("ring")[0]["lon"]})
     found = with_hits(reps, polys, "area2", lat="rep_lat", lon="rep_lon")
     key = lambda h: F.struct((-h["level"]).alias("l"), h["area2"].alias("a"), h["node_id"].alias("node_id"))
     above = F.filter("hits", lambda h: h["level"] < F.col("level"))
-    # The tree is small beside the points and read several times: it is kept in the shared folder.
-    return cut(found.withColumn("parent_id", F.array_min(F.transform(above, key))["node_id"]).drop("hits"))
+    found = found.withColumn("parent_id", F.array_min(F.transform(above, key))["node_id"]).drop("hits")
+    return found.sparkSession.createDataFrame(found.toArrow(), found.schema) if few else cut(found)
 
 
 def hierarchy_stats(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -133,6 +252,14 @@ def chain(hits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.lit(len(geo.TIERS))), first, step)
 
 
+def with_chain(points: DataFrame, nodes: DataFrame, *fields: str) -> DataFrame:
+    """`points` with hits and _chain (see chain()); fields: columns of `nodes` besides level, node_id and parent_id."""
+    fields = ("parent_id", *fields)
+    if small(nodes):
+        return _with_grid(points.drop("hits", "_chain"), nodes, fields, geo.inside, "lat_e7", "lon_e7", True)
+    return with_hits(points, nodes, *fields).withColumn("_chain", chain(F.col("hits")))
+
+
 TIER_NAMES = ("country", "state", "city", "suburb")
 
 
@@ -143,21 +270,14 @@ def attach_admin(points: DataFrame, nodes: DataFrame) -> DataFrame:
     the smallest area at levels 2, 4, 8 and, for suburbs, 10, 9, 11 fills what is still empty.
     Adds was_<tier> (present before) and chain (node_ids).
     """
-    rows = with_hits(points, nodes, "parent_id", "tier", "name", "area2")
-    rows = rows.withColumn("_chain", chain(F.col("hits")))
-    rows = rows.withColumns({f"was_{t}": F.col(t).isNotNull() for t in TIER_NAMES})
-    named = lambda t: F.filter("_chain", lambda h: (h["tier"] == t) & h["name"].isNotNull())
-    at = lambda level: smallest(F.col("hits"), level)["name"]
-    last = lambda t: F.try_element_at(F.transform(named(t), lambda h: h["name"]), F.lit(-1))
-    one = lambda t: F.get(F.transform(named(t), lambda h: h["name"]), 0)
+    rows = _with_names(points, nodes).withColumns({f"was_{t}": F.col(t).isNotNull() for t in TIER_NAMES})
     filled = {
-        "country": F.coalesce("country", one("country"), at(2)),
-        "state": F.coalesce("state", one("state"), at(4)),
-        "city": F.coalesce("city", one("city"), at(8)),
-        "suburb": F.coalesce(last("suburb"), F.col("suburb"), at(10), at(9), at(11)),
+        "country": F.coalesce("country", "_in_country", "_at_2"),
+        "state": F.coalesce("state", "_in_state", "_at_4"),
+        "city": F.coalesce("city", "_in_city", "_at_8"),
+        "suburb": F.coalesce("_in_suburb", "suburb", "_at_10", "_at_9", "_at_11"),
     }
-    rows = rows.withColumns(filled).withColumn("chain", F.transform("_chain", lambda h: h["node_id"]))
-    return rows.drop("hits", "_chain")
+    return rows.withColumns(filled).drop(*_FOUND)
 
 
 def attach_stats(attached: DataFrame) -> DataFrame:

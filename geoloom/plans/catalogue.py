@@ -275,8 +275,8 @@ def hierarchy_stats(spark, d):
 
 
 def chain(spark, d):
-    rows = spatial.with_hits(points(spark, d), _nodes(spark, d), "parent_id")
-    return rows.select("id", F.array_join(F.transform(spatial.chain(F.col("hits")), lambda h: h["node_id"].cast("string")), ">").alias("chain"))
+    rows = spatial.with_chain(points(spark, d).select("id", "lat_e7", "lon_e7"), _nodes(spark, d))
+    return rows.select("id", F.array_join(F.col("_chain.node_id").cast("array<string>"), ">").alias("chain"))
 
 
 def _attached(spark, d):
@@ -300,7 +300,7 @@ def poly_intersections(spark, d):
 
 
 def pip_bench_stats(spark, d):
-    rows = spatial.with_hits(points(spark, d), _nodes(spark, d), "parent_id").select(F.size(spatial.chain(F.col("hits"))).alias("n"))
+    rows = spatial.with_chain(points(spark, d).select("id", "lat_e7", "lon_e7"), _nodes(spark, d)).select(F.size("_chain").alias("n"))
     return rows.agg(F.count("*").alias("queries"), F.count_if(F.col("n") == 0).alias("empty"), F.round(F.avg("n"), 6).alias("avg_depth"), F.max("n").cast("long").alias("max_depth"))
 
 

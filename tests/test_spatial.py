@@ -1,10 +1,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import reverse, spatial
+from geoloom.operators import grid, reverse, spatial
 
 RING = "array<struct<lat:int,lon:int>>"
 
@@ -42,7 +43,11 @@ def made(seed=1):
     return rows, pts
 
 
-def test_hits_against_all_edges(spark):
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_hits_against_all_edges(spark, monkeypatch, most):
+    """As arrays in a broadcast and as a table of cells, in cells of several sizes."""
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(grid, "_PAIRS", 500)
     rows, pts = made()
     polys = spatial.polygons(areas(spark, rows))
     points = spark.createDataFrame(pts, "id long, lat_e7 int, lon_e7 int")
@@ -50,12 +55,9 @@ def test_hits_against_all_edges(spark):
     want = {p: sorted((lv, i) for i, lv, _, ring in rows if lv in geo.TIERS and box[i][0] <= y <= box[i][1] and box[i][2] <= x <= box[i][3] and holds(ring, y, x)) for p, y, x in pts}
     for size in (None, 50_000_000, 3_000_000):
         if size:
-            spatial_size, spatial.cell_size = spatial.cell_size, lambda _, s=size: (s, 0)
-        try:
-            got = {r["id"]: [(h["level"], h["node_id"]) for h in r["hits"]] for r in spatial.with_hits(points, polys).collect()}
-        finally:
-            if size:
-                spatial.cell_size = spatial_size
+            monkeypatch.setattr(spatial, "cell_size", lambda _, s=size: (s, 0))
+            monkeypatch.setattr(grid, "SIZES", (size,))
+        got = {r["id"]: [(h["level"], h["node_id"]) for h in r["hits"]] for r in spatial.with_hits(points, polys).collect()}
         assert got == want
     assert sum(map(len, want.values())) > 300
 
@@ -72,7 +74,9 @@ def tree(rows):
     return out, area
 
 
-def test_hierarchy_chain_and_attachment(spark):
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_hierarchy_chain_and_attachment(spark, monkeypatch, most):
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", most)
     rows, pts = made(2)
     parent, area = tree(rows)
     nodes = spatial.hierarchy(spatial.polygons(areas(spark, rows)))
