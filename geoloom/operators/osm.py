@@ -82,30 +82,59 @@ def lines(ways: DataFrame) -> DataFrame:
 
 
 def _stitch(segments: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """From each segment on, whatever continues the end is appended; the longest result stays."""
+    """From each segment on, whatever continues the end is appended; the longest result stays.
+
+    Of several that continue it the first in order does. Segments are looked up by their end
+    points, and a start is left out if all that hangs together with it could not make a
+    longer ring than the best so far.
+    """
     segments = [s for s in segments if s]
     if len(segments) < 2:
         return segments[0] if segments else []
-    best: list[tuple[int, int]] = []
+    at: dict[tuple[int, int], list[int]] = {}
+    for i, s in enumerate(segments):
+        for end in {s[0], s[-1]}:
+            at.setdefault(end, []).append(i)
+    # The most points that a ring may have from each segment on: all that is connected with it.
+    most = [0] * len(segments)
+    for i in range(len(segments)):
+        if most[i]:
+            continue
+        group, todo, most[i] = [], [i], -1
+        while todo:
+            j = todo.pop()
+            group.append(j)
+            for end in (segments[j][0], segments[j][-1]):
+                for k in at[end]:
+                    if not most[k]:
+                        most[k] = -1
+                        todo.append(k)
+        bound = 1 + sum(len(segments[j]) - 1 for j in group)
+        for j in group:
+            most[j] = bound
+    best, size = [], 0
     for seed in range(len(segments)):
-        left = [i for i in range(len(segments)) if i != seed]
-        ring = list(segments[seed])
+        if most[seed] <= size:
+            continue
+        used, tried = {seed}, {}
+        path, points, end = [(seed, False)], len(segments[seed]), segments[seed][-1]
         while True:
-            for i in left:
-                s = segments[i]
-                if s[0] == ring[-1]:
-                    ring += s[1:]
-                elif s[-1] == ring[-1]:
-                    ring += s[-2::-1]
-                else:
-                    continue
-                left.remove(i)
-                break
-            else:
+            here, k = at[end], tried.get(end, 0)
+            while k < len(here) and here[k] in used:
+                k += 1
+            tried[end] = k
+            if k == len(here):
                 break
-        if len(ring) > len(best):
-            best = ring
-    return best
+            s = segments[here[k]]
+            used.add(here[k])
+            path.append((here[k], s[0] != end))
+            points, end = points + len(s) - 1, s[0] if s[0] != end else s[-1]
+        if points > size:
+            best, size = path, points
+    ring = list(segments[best[0][0]])
+    for i, backwards in best[1:]:
+        ring += segments[i][-2::-1] if backwards else segments[i][1:]
+    return ring
 
 
 def stitch(segments: Column) -> Column:
@@ -125,11 +154,12 @@ def stitch(segments: Column) -> Column:
 def admin_areas(relations: DataFrame, ways: DataFrame) -> DataFrame:
     """id, admin_level, name, ring and bounding box of boundary relations with some ring.
 
-    Way members of role outer or none are taken in order; of rows that share a way id one is.
+    Way members of role outer or none are taken in order; of rows that share a way id the least
+    geometry is.
     """
     rows = relations.where(is_boundary(F.col("tags")))
     members = rows.select("id", F.posexplode("members").alias("pos", "m")).where("m.type = 'w' AND m.role IN ('outer', '')")
-    geometry = ways.where(F.size("coords") > 0).groupBy(F.col("id").alias("way_id")).agg(F.first("coords").alias("coords"))
+    geometry = ways.where(F.size("coords") > 0).groupBy(F.col("id").alias("way_id")).agg(F.min("coords").alias("coords"))
     segments = members.join(geometry, F.col("m.ref") == F.col("way_id")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "coords"))).alias("s"))
     segments = segments.select("id", stitch(F.transform("s", lambda x: x["coords"])).alias("ring")).where(F.size("ring") > 0)
     found = rows.join(segments, "id")

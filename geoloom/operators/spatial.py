@@ -319,13 +319,19 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, *, carry: tuple[s
 
     queries: query_id, lat, lon in degrees; points: id, lat_e7, lon_e7. Exact: a grid is
     searched in the nine cells round each query, and queries whose k-th distance may reach
-    beyond them go on in a grid of twice the cell size. Ties go to the smaller id.
+    beyond them go on in a grid of four times the cell size. Ties go to the smaller id.
     """
     extent = points.agg(F.count("*").alias("n"), *[f(c).alias(g + c) for c in ("lat_e7", "lon_e7") for f, g in ((F.min, "lo_"), (F.max, "hi_"))]).first()
     if not extent["n"]:
         return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("distance_m"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in carry]).where("false")
     high, wide = ((extent[f"hi_{c}"] - extent[f"lo_{c}"]) / 1e7 for c in ("lat_e7", "lon_e7"))
     size = max(1e-4, (max(high, 1e-4) * max(wide, 1e-4) * 2 * k / extent["n"]) ** 0.5)
+    # Points crowd in places: the grid begins with cells in which a point has few neighbours on average.
+    while size > 1e-5:
+        cells = points.groupBy(*[F.floor(F.col(c) / F.lit(size * 1e7)).alias(c) for c in ("lat_e7", "lon_e7")]).agg(F.count("*").alias("n"))
+        if cells.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("s")).first()["s"] <= 16 * k * extent["n"]:
+            break
+        size /= 4
     p = points.select("id", (F.col("lat_e7") / F.lit(1e7)).alias("plat"), (F.col("lon_e7") / F.lit(1e7)).alias("plon"), *carry)
     open_, done, most = queries.select("query_id", "lat", "lon"), None, min(k, extent["n"])
     best = Window.partitionBy("query_id").orderBy("distance_m", "id")

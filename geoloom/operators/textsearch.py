@@ -21,6 +21,8 @@ FUZZY_BELOW = 30.0
 HOUSE_BONUS = 15.0
 # --- End of fixed values.
 NOTE = "  ·  "
+#: Characters of a word from which on candidates for corrections are found by length.
+LONG = 48
 
 
 def kind_name(kind: Column) -> Column:
@@ -94,9 +96,10 @@ def rank(queries: DataFrame, objs: DataFrame) -> DataFrame:
 
 
 def best_of(scored: DataFrame) -> DataFrame:
-    """The best score of each object; on a tie the earliest path and split."""
+    """The best score of each object; on a tie the earliest path and split. Splits are reduced before any shuffle."""
     key = F.max(F.struct("score", (-F.col("path")).alias("path"), (-F.col("k")).alias("k"), "matched", "reason")).alias("b")
-    return scored.groupBy("query_id", "kind", "id").agg(key).select("query_id", "kind", "id", "b.score", "b.matched", "b.reason")
+    best = scored.groupBy("query_id", "kind", "id").agg(key)
+    return best.select("query_id", (-F.col("b.path")).alias("path"), (-F.col("b.k")).alias("k"), "kind", "id", "b.score", "b.matched", "b.reason")
 
 
 def prepare(queries: DataFrame) -> DataFrame:
@@ -109,15 +112,21 @@ def corrections(words: DataFrame, objs: DataFrame) -> DataFrame:
     """(token, best): for each distinct token the word of the index within its threshold of edits,
     the nearest one and then the first in order; tokens without one are left out.
 
-    Candidates share a string that up to two deletions leave of both: an equality join.
+    Candidates share a string that up to two deletions leave of both: an equality join. Of
+    words of over LONG characters, which have thousands of such strings and are few, those
+    of nearly the same length are candidates. A swap is two edits without swaps, which tells
+    most candidates apart before the distance is taken.
     """
-    asked = words.select("token").distinct()
-    k = text.fuzzy_threshold(F.col("token"))
-    near = F.when(k == 1, text.deletions(F.col("token"), 1)).otherwise(text.deletions(F.col("token"), 2))
-    known = vocabulary(objs).where(F.octet_length("token") >= 3).select(F.col("token").alias("word"))
-    left = asked.select("token", k.alias("k"), F.explode(near).alias("left"))
-    right = known.select("word", F.explode(text.deletions(F.col("word"), 2)).alias("left"))
-    pairs = left.join(right, "left").select("token", "k", "word").distinct()
+    asked = words.select("token").distinct().withColumn("k", text.fuzzy_threshold(F.col("token")))
+    known = cut(vocabulary(objs).where(F.octet_length("token") >= 3).select(F.col("token").alias("word")))
+    size = F.length("token")
+    near = F.when(F.col("k") == 1, text.deletions(F.col("token"), 1)).otherwise(text.deletions(F.col("token"), 2))
+    left = asked.where(size <= LONG).select("token", "k", F.explode(near).alias("left"))
+    right = known.where(F.length("word") <= LONG + 2).select("word", F.explode(text.deletions(F.col("word"), 2)).alias("left"))
+    long = asked.where(size > LONG).select("token", "k", F.explode(F.sequence(size - 2, size + 2)).alias("size"))
+    alike = long.join(known.where(F.length("word") > LONG - 2).withColumn("size", F.length("word")), "size").select("token", "k", "word")
+    pairs = left.join(right, "left").select("token", "k", "word").distinct().unionByName(alike)
+    pairs = pairs.where(F.levenshtein("token", "word") <= 2 * F.col("k"))
     found = pairs.withColumn("d", text.osa_distance(F.col("token"), F.col("word"))).where("d <= k")
     return found.groupBy("token").agg(F.min(F.struct("d", "word"))["word"].alias("best"))
 
@@ -147,13 +156,14 @@ def search(queries: DataFrame, points: DataFrame, lines: DataFrame, admins: Data
     plain = asked.select("query_id", F.lit(0).alias("path"), "words", F.lit(None).cast("string").alias("note"))
     other = asked.select("query_id", F.lit(1).alias("path"), text.apply_synonyms(F.col("words")).alias("s")).where("s.changed and size(s.tokens) > 0")
     other = other.select("query_id", "path", F.col("s.tokens").alias("words"), F.concat(F.lit("via "), "s.trace").alias("note"))
-    scored = cut(rank(plain.unionByName(other), objs))
+    scored = cut(best_of(rank(plain.unionByName(other), objs)))
     good = scored.groupBy("query_id").agg(F.max("score").alias("top")).where(F.col("top") >= FUZZY_BELOW)
     weak = asked.join(good, "query_id", "left_anti")
-    scored = scored.unionByName(rank(cut(_fuzzy(weak, objs)), objs))
+    scored = best_of(scored.unionByName(best_of(rank(cut(_fuzzy(weak, objs)), objs))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "kind", "id")
-    ranked = cut(best_of(scored).withColumn("rank", F.row_number().over(order)))
-    return _houses(ranked, asked, points, lines).where(F.col("rank") <= limit).select("query_id", "rank", "kind", "id", "score", "matched", "reason")
+    # The filter stands at the window, so that each task sorts and sends `limit` rows of a query only.
+    ranked = cut(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
+    return _houses(ranked, asked, points, lines).select("query_id", "rank", "kind", "id", "score", "matched", "reason")
 
 
 def _houses(ranked: DataFrame, asked: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:

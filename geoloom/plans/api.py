@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import geojson, osm, reverse, spatial, textsearch
+from ..session import cut
 from ..sources import pbf, tables
+from . import reports
 
 WORLD = (-180.0, -90.0, 180.0, 90.0)
 
@@ -69,47 +71,51 @@ def dataset_info(spark: SparkSession, root: str, wanted: str) -> dict:
     return {"dataset": wanted} | tables.dataset_counts(spark, root, names).first().asDict()
 
 
-def parse(spark: SparkSession, path: str, root: str, *, with_admin: bool = True) -> dict:
-    """A PBF file to a dataset below `root`; returns the counts and seconds that report() prints."""
-    name, began, took = tables.dataset_name(path), time.perf_counter(), {}
+def search_response(queries: DataFrame, points: DataFrame, lines: DataFrame, admins: DataFrame, limit: int = 20) -> dict[int, str]:
+    """For each query that found something a FeatureCollection, with the number returned and milliseconds.
 
-    def timed(what: str, f):
-        at = time.perf_counter()
-        out = f()
-        took[what] = time.perf_counter() - at
-        return out
+    For the queries of one call: the driver holds their features, `limit` a query.
+    """
+    began, found = time.perf_counter(), {}
+    for r in search(queries, points, lines, admins, limit).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["feature"])
+    took = (time.perf_counter() - began) * 1e3
+    tail = lambda n: f'],"returned":{n},"query_ms":{took:.3f}}}'
+    return {q: '{"type":"FeatureCollection","features":[' + ",".join(f) + tail(len(f)) for q, f in found.items()}
 
+
+def parse(spark: SparkSession, path: str, root: str, *, with_admin: bool = True, measures: bool = True) -> dict:
+    """A PBF file to a dataset below `root`; returns the figures that report() prints.
+
+    measures: whether to count what the reports of containment, layers and attachment tell.
+    """
+    name, began, clock = tables.dataset_name(path), time.perf_counter(), reports.Clock()
     points, lines, admins = osm.parse(*pbf.read(spark, path))
-    timed("lines and areas", lambda: (lines.write.mode("overwrite").parquet(f"{root}/{name}/lines"), admins.write.mode("overwrite").parquet(f"{root}/{name}/admins")))
+    clock("lines and areas", lambda: (lines.write.mode("overwrite").parquet(f"{root}/{name}/lines"), admins.write.mode("overwrite").parquet(f"{root}/{name}/admins")))
     lines, admins = (tables.read_dataset(spark, root, name, k) for k in ("lines", "admins"))
-    stats = {"open_rings": osm.open_rings(admins).first()[0]}
+    result = {"dataset": name, "source": path, "stats": {"open_rings": osm.open_rings(admins).first()[0]}}
+    kept = points.columns
     if with_admin:
         polys = spatial.polygons(admins)
-        nodes = timed("hierarchy", lambda: spatial.hierarchy(polys))
-        stats |= timed("intersections", lambda: spatial.hierarchy_stats(nodes, spatial.intersections(polys)).first().asDict())
-        points = spatial.attach_admin(points, nodes).select(*points.columns)
-    timed("points", lambda: points.write.mode("overwrite").parquet(f"{root}/{name}/points"))
-    stats |= tables.dataset_counts(spark, root, [name]).first().asDict()
-    return {"dataset": name, "source": path, "seconds": time.perf_counter() - began, "steps": took, "stats": stats}
-
+        nodes = clock("hierarchy", lambda: spatial.hierarchy(polys))
+        attached = spatial.attach_admin(points, nodes)
+        if measures:
+            attached = cut(attached)  # read for its counts and to be written
+            result["measures"] = reports.measure(attached, admins, nodes, polys, attached, clock)
+        points = attached.select(*kept)
+    clock("points", lambda: points.write.mode("overwrite").parquet(f"{root}/{name}/points"))
+    result["stats"] |= tables.dataset_counts(spark, root, [name]).first().asDict()
+    return result | {"seconds": time.perf_counter() - began, "steps": clock.took}
 
-def duration(seconds: float) -> str:
-    if seconds < 1:
-        return f"{seconds * 1e3:.1f} ms"
-    return f"{seconds:.2f} s" if seconds < 60 else f"{int(seconds // 60)}m {int(seconds % 60):02d}s"
 
-
-def size(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB"):
-        if n < 1024 or unit == "GB":
-            return f"{n:.0f} {unit}" if unit == "B" else f"{n:.2f} {unit}"
-        n /= 1024
-    return ""
+duration, size = reports.duration, reports.size
 
 
 def report(result: dict, when: datetime.datetime) -> tuple[str, str]:
     """(file name, Markdown) of parse()'s result."""
-    lines = [f"# Parse report: {result['dataset']}", "", "| | |", "|---|---:|", f"| Source | {result['source']} |", f"| Wall-clock | {duration(result['seconds'])} |", "", "## Counts", "", "| | |", "|---|---:|"]
-    lines += [f"| {k.replace('_', ' ')} | {v:,} |" for k, v in result["stats"].items()]
-    lines += ["", "## Steps", "", "| | |", "|---|---:|", *[f"| {k} | {duration(v)} |" for k, v in result["steps"].items()], ""]
-    return f"{result['dataset']}_{when:%Y-%m-%d_%H%M%S}.md", "\n".join(lines)
+    return reports.markdown(result, when)
+
+
+def print_report(result: dict) -> None:
+    """parse()'s result for a console."""
+    print(reports.console(result))

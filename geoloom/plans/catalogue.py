@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import geojson, osm, reverse, spatial, textsearch
+from ..operators import geojson, osm, reverse, spatial, summary, textsearch
+from ..session import shared_dir
+from ..sources import tables
+from . import api
 from . import fixtures as X
 from .fixtures import admins, lines, points, table
 
@@ -300,17 +305,38 @@ def poly_intersections(spark, d):
 
 
 def pip_bench_stats(spark, d):
-    rows = spatial.with_chain(points(spark, d).select("id", "lat_e7", "lon_e7"), _nodes(spark, d)).select(F.size("_chain").alias("n"))
-    return rows.agg(F.count("*").alias("queries"), F.count_if(F.col("n") == 0).alias("empty"), F.round(F.avg("n"), 6).alias("avg_depth"), F.max("n").cast("long").alias("max_depth"))
+    return summary.pip_bench(points(spark, d), _nodes(spark, d))
 
 
 def layered_stats(spark, d):
-    """Buildings: of those with a city, state or country in their chain, how often the layer below lies in it."""
-    nodes = _nodes(spark, d)
-    rows = points(spark, d).where(F.coalesce("type", "street", "housenumber").isNotNull())
-    rows = spatial.with_hits(rows, nodes, "parent_id", "tier").withColumn("c", spatial.chain(F.col("hits")))
-    has = lambda t: F.exists("c", lambda h: h["tier"] == t)
-    return rows.agg(F.count("*").alias("buildings"), *[F.count_if(has(t)).alias(f"in_{t}") for t in spatial.TIER_NAMES], *[F.count_if(~has(t)).alias(f"no_{t}") for t in ("country", "state", "city")])
+    return summary.layered(points(spark, d), _nodes(spark, d))
+
+
+def tier_counts(spark, d):
+    more = admins(spark, d).where("admin_level = 9").withColumn("admin_level", F.lit(6).cast("short"))  # a level without a tier
+    return summary.tier_counts(admins(spark, d).unionByName(more))
+
+
+def query_address(spark, d):
+    return summary.addresses(points(spark, d), _nodes(spark, d))
+
+
+def address_sample(spark, d):
+    return summary.address_sample(points(spark, d), _nodes(spark, d))
+
+
+def first_pairs(spark, d):
+    polys = spatial.polygons(admins(spark, d))
+    return summary.first_pairs(spatial.intersections(polys), polys)
+
+
+def bbox_first_points(spark, d):
+    """The first 20 features in a box; the feature's text is compared whole."""
+    return api.points_in_bbox(points(spark, d), (8.0, 48.0, 12.0, 52.0), 20)
+
+
+def bbox_first_lines(spark, d):
+    return api.lines_in_bbox(lines(spark, d), (8.0, 48.0, 12.0, 52.0), 7)
 
 
 def _reverse(spark, d, zoom):
@@ -346,19 +372,27 @@ def geojson_reverse(spark, d):
 
 
 def dataset_union(spark, d):
-    parts = [points(spark, d).where(F.col("id") % 3 == i).withColumn("dataset", F.lit(f"set{i}")) for i in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("dataset", "id", "name")
+    root = _three_sets(spark, d)
+    return tables.merge(spark, root, tables.select_datasets(spark, root, "all"), "points").select("dataset", "id", "name")
+
+
+def _three_sets(spark, d):
+    """Three datasets below a folder of their own: rows by id modulo 3."""
+    root = f"{shared_dir(spark).rstrip('/')}/sets-{uuid.uuid4().hex}"
+    for i in range(3):
+        tables.write_dataset(root, f"set{i}", *[t(spark, d).where(F.col("id") % 3 == i) for t in (points, lines, admins)])
+    return root
 
 
 def dataset_counts(spark, d):
-    return dataset_union(spark, d).groupBy("dataset").agg(F.count("*").alias("points"))
+    return tables.dataset_counts(spark, _three_sets(spark, d), ["set0", "set2"])
 
 
 _OWN = (
     norm_din, norm_strip, tokens_din, tokens_strip, token_postings, abbrev_expand, suffix_split, synonym_expand, numeric_split, osa_pairs, index_postings, index_stats, and_query, rank_scores,
     search_topk, search_fuzzy, search_synonym, search_housenumber, bbox_points, bbox_lines, bbox_admins, e7_roundtrip, tier_map, admin_level_parse, way_classify, point_tags, line_tags, needed_ways,
     resolve_coords, centroid, coord_bbox, ring_area, ring_stitch, parse_counts, haversine, nearest_point, knn20, pip_counts, pip_level, pip_smallest, hierarchy_parent, hierarchy_stats, chain,
-    attach_admin, attach_stats, address_format, poly_intersections, pip_bench_stats, layered_stats, geojson_points, geojson_lines, geojson_admin, geojson_search, geojson_reverse, dataset_union, dataset_counts,
+    attach_admin, attach_stats, address_format, poly_intersections, pip_bench_stats, layered_stats, tier_counts, query_address, address_sample, first_pairs, bbox_first_points, bbox_first_lines, geojson_points, geojson_lines, geojson_admin, geojson_search, geojson_reverse, dataset_union, dataset_counts,
 )
 
 

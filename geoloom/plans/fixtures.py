@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 STEMS, ENDS = ("Haupt", "Bahnhof", "Königs", "Müller", "Garten"), ("straße", "platz", "weg", "allee", "gasse")
-#: Half the extent of a diamond, and the steps of a street, in 1e-7 degrees.
+#: Half the extent of a diamond (every tenth is four times as large), and the steps of a street, in 1e-7 degrees.
 RADIUS, STREET_LAT, STREET_LON = 1_500_000, 20_000_000, 15_000_000
 
 
@@ -78,7 +78,8 @@ def admins(spark: SparkSession, sf_dir: str) -> DataFrame:
     city = table(spark, sf_dir, "nation").select(*row(k + 3_000_000, F.lit(8), F.col("n_name"), _box(y, y + 16_000_000, x, x + 18_000_000)))
     s = F.col("s_suppkey").cast("long")
     y, x = lat(s + 500_000).cast("long"), lon(s + 500_000).cast("long")
-    diamond = _ring((y, x + RADIUS), (y + RADIUS, x), (y, x - RADIUS), (y - RADIUS, x))
+    r = F.when(s % 10 == 0, 4 * RADIUS).otherwise(RADIUS)
+    diamond = _ring((y, x + r), (y + r, x), (y, x - r), (y - r, x))
     suburb = table(spark, sf_dir, "supplier").select(*row(s + 4_000_000, s % 3 + 9, F.col("s_name"), diamond))
     return country.unionByName(state).unionByName(city).unionByName(suburb)
 

@@ -73,7 +73,7 @@ def _box(a: str, b: str, c: str, d: str) -> str:
     return f"[{{'lat': {a}, 'lon': {c}}}, {{'lat': {a}, 'lon': {d}}}, {{'lat': {b}, 'lon': {d}}}, {{'lat': {b}, 'lon': {c}}}, {{'lat': {a}, 'lon': {c}}}]"
 
 
-_R = X.RADIUS
+_R = f"CASE WHEN s_suppkey % 10 = 0 THEN {4 * X.RADIUS} ELSE {X.RADIUS} END"
 ADMINS = f"""admins AS (
     SELECT 1000000::BIGINT AS id, 2 AS admin_level, 'Country' AS name, {_box("470000000", "550000000", "60000000", "150000000")} AS ring
     UNION ALL SELECT r_regionkey + 2000000, 4, r_name, {_box("470000000", "550000000", "60000000 + 18000000 * r_regionkey", "78000000 + 18000000 * r_regionkey")} FROM region
@@ -116,6 +116,21 @@ named AS (SELECT pid, {", ".join(f"arg_min(name, depth) FILTER (tier = '{t}' AND
 attached AS (SELECT p.* REPLACE (coalesce(p.country, n.country, at_2) AS country, coalesce(p.state, n.state, at_4) AS state, coalesce(p.city, n.city, at_8) AS city, coalesce(n.suburb, p.suburb, at_10, at_9, at_11) AS suburb),
              p.country IS NOT NULL AS was_country, p.state IS NOT NULL AS was_state, p.city IS NOT NULL AS was_city, p.suburb IS NOT NULL AS was_suburb
              FROM points p LEFT JOIN named n ON n.pid = p.id LEFT JOIN small s ON s.pid = p.id)"""
+#: Of each building the last area of each tier in its chain.
+LAYERED = """b AS (SELECT p.id, """ + ", ".join(f"arg_max(node_id, depth) FILTER (tier = '{t}') AS {t}" for t in ("city", "state", "country")) + """
+    FROM points p LEFT JOIN links ON links.pid = p.id LEFT JOIN polys USING (node_id) WHERE p.type IS NOT NULL OR p.street IS NOT NULL OR p.housenumber IS NOT NULL GROUP BY p.id)"""
+
+
+def _layer(below: str, above: str, places: str) -> str:
+    """Buildings whose place `below` lies in the polygon `above`, by a ray alone."""
+    return f"""(SELECT count(*) FROM (SELECT b.id FROM b JOIN {places} p ON p.id = b.{below} JOIN edges e ON e.id = b.{above} AND (e.plat > p.y) <> (e.qlat > p.y)
+        AND (e.qlon - e.plon)::DOUBLE * (p.y - e.plat) / (e.qlat - e.plat) + e.plon > p.x GROUP BY b.id HAVING count(*) % 2 = 1))"""
+
+
+#: Names by the chain alone.
+PLAIN = """named_links AS (SELECT * FROM links JOIN polys USING (node_id) WHERE name IS NOT NULL),
+plain AS (SELECT p.id, """ + ", ".join(f"arg_max(n.name, n.depth) FILTER (n.tier = '{t}') AS {t}" for t in ("country", "state", "city")) + """, arg_max(n.name, {'l': n.level, 'd': -n.depth}) FILTER (n.tier = 'suburb') AS suburb
+    FROM points p LEFT JOIN named_links n ON n.pid = p.id GROUP BY p.id)"""
 GEO = ",\n".join((POINTS, ADMINS, POLYS, BIG, HITS))
 ALL = ",\n".join((GEO, PARENTS, CHAIN, ATTACH))
 
@@ -322,13 +337,22 @@ def sql() -> dict[str, str]:
         "attach_stats": f"WITH {ALL} SELECT count(*) AS points, {', '.join(f'count(*) FILTER (NOT was_{t} AND {t} IS NOT NULL) AS {t}_filled' for t in ('country', 'state', 'city', 'suburb'))}, count(*) FILTER (coalesce(country, state, city, suburb) IS NOT NULL) AS points_with_any FROM attached",
         "address_format": f"WITH {ALL} SELECT id, concat_ws(', ', suburb, city, state, country) AS address FROM attached",
         "pip_bench_stats": f"WITH {ALL}, d AS (SELECT p.id, count(node_id) AS n FROM points p LEFT JOIN links ON links.pid = p.id GROUP BY p.id) SELECT count(*) AS queries, count(*) FILTER (n = 0) AS empty, round(avg(n), 6) AS avg_depth, max(n) AS max_depth FROM d",
-        "layered_stats": f"""WITH {ALL}, d AS (SELECT p.id, {", ".join(f"coalesce(bool_or(tier = '{t}'), false) AS {t}" for t in ("country", "state", "city", "suburb"))} FROM points p LEFT JOIN links ON links.pid = p.id LEFT JOIN polys USING (node_id) WHERE coalesce(type, street, housenumber) IS NOT NULL GROUP BY p.id)
-            SELECT count(*) AS buildings, {", ".join(f"count(*) FILTER ({t}) AS in_{t}" for t in ("country", "state", "city", "suburb"))}, {", ".join(f"count(*) FILTER (NOT {t}) AS no_{t}" for t in ("country", "state", "city"))} FROM d""",
+        "layered_stats": f"""WITH {ALL}, {LAYERED}
+            SELECT (SELECT count(*) FROM b) AS buildings, (SELECT count(*) FROM points) - (SELECT count(*) FROM b) AS skipped,
+                   (SELECT count(*) FROM b WHERE city IS NULL) AS t1_misses, {_layer("id", "city", "pts")} AS t1_hits,
+                   (SELECT count(*) FROM b WHERE city IS NULL OR state IS NULL) AS t2_misses, {_layer("city", "state", "reps")} AS t2_hits,
+                   (SELECT count(*) FROM b WHERE state IS NULL OR country IS NULL) AS t3_misses, {_layer("state", "country", "reps")} AS t3_hits""",
+        "tier_counts": f"""WITH {ADMINS}, l AS (SELECT admin_level AS v FROM admins UNION ALL SELECT 6 FROM admins WHERE admin_level = 9)
+            SELECT count(*) FILTER (v NOT IN (2, 4, 8, 9, 10, 11)) AS dropped, count(*) FILTER (v = 2) AS country, count(*) FILTER (v = 4) AS state, count(*) FILTER (v = 8) AS city, count(*) FILTER (v IN (9, 10, 11)) AS suburb FROM l""",
+        "query_address": f"WITH {ALL}, {PLAIN} SELECT * FROM plain",
+        "address_sample": f"WITH {ALL}, {PLAIN} SELECT id, lat_e7, lon_e7, concat_ws(', ', a.suburb, a.city, a.state, a.country) AS address FROM plain a JOIN points p USING (id) WHERE coalesce(a.country, a.state, a.city, a.suburb) IS NOT NULL ORDER BY id LIMIT 5",
+        "bbox_first_points": f"WITH {POINTS} SELECT id, {_feature('Point', _xy('lat_e7', 'lon_e7'), _id_and('name', 'type', 'street', 'housenumber', 'postcode'))} AS feature FROM points WHERE lat_e7 / 1e7 BETWEEN 48 AND 52 AND lon_e7 / 1e7 BETWEEN 8 AND 12 ORDER BY id LIMIT 20",
+        "bbox_first_lines": f"WITH {LINES} SELECT id, {_feature('LineString', _path('coords'), _id_and('name', 'type', 'ref'))} AS feature FROM lines WHERE max_lat / 1e7 >= 48 AND min_lat / 1e7 <= 52 AND max_lon / 1e7 >= 8 AND min_lon / 1e7 <= 12 ORDER BY id LIMIT 7",
         "geojson_points": f"WITH {POINTS} SELECT id, {_feature('Point', _xy('lat_e7', 'lon_e7'), _id_and('name', 'type', 'street', 'housenumber', 'postcode'))} AS feature FROM points",
         "geojson_lines": f"WITH {LINES} SELECT id, {_feature('LineString', _path('coords'), _id_and('name', 'type', 'ref'))} AS feature FROM lines",
         "geojson_admin": f"""WITH {ADMINS} SELECT id, {_feature("Polygon", "'[' || " + _path("ring") + " || ']'", "'\"id\":' || id || ',\"admin_level\":' || admin_level || " + _field("name", "name"))} AS feature FROM admins""",
         "dataset_union": f"WITH {POINTS} SELECT 'set' || (id % 3) AS dataset, id, name FROM points",
-        "dataset_counts": f"WITH {POINTS} SELECT 'set' || (id % 3) AS dataset, count(*) AS points FROM points GROUP BY ALL",
+        "dataset_counts": f"WITH {POINTS}, {LINES}, {ADMINS} SELECT {', '.join(f'(SELECT count(*) FROM {t} WHERE id % 3 <> 1) AS {t}' for t in ('points', 'lines', 'admins'))}",
     }
     cross = "sign(({q}lon - {p}lon) * ({r}lat - {p}lat) - ({q}lat - {p}lat) * ({r}lon - {p}lon))"
     side = lambda p, q, r: cross.format(p=p, q=q, r=r)
@@ -336,6 +360,7 @@ def sql() -> dict[str, str]:
         AND m.min_lat <= n.max_lat AND n.min_lat <= m.max_lat AND m.min_lon <= n.max_lon AND n.min_lon <= m.max_lon JOIN edges b ON b.id = n.node_id
         WHERE {side("a.p", "a.q", "b.p")} * {side("a.p", "a.q", "b.q")} < 0 AND {side("b.p", "b.q", "a.p")} * {side("b.p", "b.q", "a.q")} < 0"""
     out["poly_intersections"] = f"WITH {ADMINS}, {POLYS} {pairs}"
+    out["first_pairs"] = f"WITH {ADMINS}, {POLYS}, few AS ({pairs} ORDER BY a, b LIMIT 5) SELECT a, b, level FROM few JOIN polys ON node_id = a"
     out["hierarchy_stats"] = f"""WITH RECURSIVE {ADMINS}, {POLYS}, {PARENTS}, up_to AS (SELECT node_id, parent_id, 1 AS depth FROM nodes UNION ALL SELECT u.node_id, n.parent_id, depth + 1 FROM up_to u JOIN nodes n ON n.node_id = u.parent_id)
         SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE parent_id IS NULL) AS roots, (SELECT max(depth) FROM up_to)::BIGINT AS max_depth, (SELECT count(*) FROM ({pairs})) AS pairs"""
     head = lambda kind: f"'\"kind\":\"{kind}\",\"id\":' || o.id || "

@@ -110,8 +110,18 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select("*", *geo.bbox(F.col(path_column)))
 
 
+def load(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """`kind` of a folder that holds <kind>.bin or, without one, <kind>.json."""
+    names = {"points": tables.read_points_json, "lines": tables.read_lines_json, "admins": tables.read_admins_json}
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}.bin")
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return read(spark, f"{folder}/{kind}.bin", kind)
+    return names[kind](spark, f"{folder}/{kind}.json")
+
+
 def write(df: DataFrame, path: str, kind: str) -> None:
-    """One file at a local path. All rows pass the driver: for the exchange of single datasets."""
+    """One file at a local path. All rows pass the driver: for the exchange of single datasets,
+    as the format wants one file; tables go to Parquet by tables.write_dataset()."""
     rows = [r.asDict(recursive=True) for r in df.toLocalIterator()]
     with open(path, "wb") as f:
         f.write(encode(kind, rows))

@@ -1,12 +1,14 @@
 import datetime
 import json
+import random
 import struct
+import time
 import zlib
 
 import pytest
 
 from geoloom.operators import osm
-from geoloom.plans import api
+from geoloom.plans import api, reports
 from geoloom.sources import binary, pbf, tables
 from geoloom.streaming import enrich
 
@@ -97,6 +99,42 @@ def test_stitch():
     assert osm._stitch([[a, b], [b, a, c]]) == [a, b, a, c]
 
 
+def greedy(segments):
+    """The contract of stitching, step by step."""
+    segments, best = [s for s in segments if s], []
+    for seed in range(len(segments)):
+        ring, left = list(segments[seed]), [s for i, s in enumerate(segments) if i != seed]
+        while len(segments) > 1 and (fit := next((i for i, s in enumerate(left) if ring[-1] in (s[0], s[-1])), None)) is not None:
+            s = left.pop(fit)
+            ring += (s if s[0] == ring[-1] else s[::-1])[1:]
+        best = ring if len(ring) > len(best) else best
+    return best
+
+
+def test_stitch_follows_the_contract():
+    rng = random.Random(3)
+    for n in range(400):
+        at = [(0, i) for i in range(rng.randint(2, 9))]
+        segments = [[rng.choice(at), *[(1, rng.randint(0, 99)) for _ in range(rng.randint(0, 3))], rng.choice(at)][: rng.randint(0, 5)] for _ in range(n % 12)]
+        assert osm._stitch(segments) == greedy(segments)
+    ring = [(i, i * i % 997) for i in range(5_000)]
+    parts = [[ring[i], ring[(i + 1) % 5_000]][:: rng.choice((1, -1))] for i in range(5_000)]
+    rng.shuffle(parts)
+    began = time.perf_counter()
+    assert len(osm._stitch(parts)) == 5_001 and time.perf_counter() - began < 1
+
+
+def test_folders_load_binary_or_json(spark, tmp_path):
+    path = f"{tmp_path}/tiny.osm.pbf"
+    make_pbf(path, NODES, WAYS, RELATIONS)
+    points, lines, admins = osm.parse(*pbf.read(spark, path))
+    (tmp_path / "set").mkdir()
+    binary.write(points, f"{tmp_path}/set/points.bin", "points")
+    tables.lines_json(lines).write.text(f"{tmp_path}/set/lines.json")
+    tables.admins_json(admins).write.text(f"{tmp_path}/set/admins.json")
+    assert [binary.load(spark, f"{tmp_path}/set", k).count() for k in ("points", "lines", "admins")] == [points.count(), lines.count(), admins.count()]
+
+
 def test_dataset_from_parse_to_answers(spark, tmp_path):
     path, root = f"{tmp_path}/tiny.osm.pbf", f"{tmp_path}/sets"
     make_pbf(path, NODES, WAYS, RELATIONS)
@@ -116,6 +154,13 @@ def test_dataset_from_parse_to_answers(spark, tmp_path):
     assert got[1]["object_kind"] == "house" and got[1]["city"] == "Town" and got[2] == {"object_kind": "city", "id": 5, "admin_level": 8, "name": "Town", "country": "", "state": "", "city": "Town", "suburb": ""}
     found = api.search(spark.createDataFrame([(0, "town")], "query_id long, q string"), points, lines, admins).collect()
     assert json.loads(found[0]["feature"])["properties"]["kind"] == "admin"
+    answer = json.loads(api.search_response(spark.createDataFrame([(0, "town"), (1, "nothing")], "query_id long, q string"), points, lines, admins)[0])
+    assert answer["returned"] == len(answer["features"]) > 0 and answer["query_ms"] > 0
+    for part in ("## 2. Hierarchy", "## 3. Points in areas", "T2 city in state: queries", "share of points with any", "First addresses", "| country |"):
+        assert part in text, part
+    assert "LAYERS" in reports.console(result) and "T3 misses" in reports.console(result)
+    plain = api.parse(spark, path, f"{tmp_path}/plain", with_admin=False)
+    assert "measures" not in plain and tables.read_dataset(spark, f"{tmp_path}/plain", "tiny", "points").where("city = 'Town'").count() == 0
 
 
 def test_json_and_binary_round_trips(spark, tmp_path):
