@@ -683,3 +683,71 @@ def test_toxicity_learns_from_its_rows_only(spark):
     assert toxicity.drop_toxic(docs, df).columns == docs.columns
     nothing = toxicity.fit(docs, empty(df))
     assert len(nothing.features) == 0 and toxicity.score(empty(docs), nothing).count() == 0
+
+
+def grams(text):
+    """The distinct hashed character n-grams of a text, one at a time."""
+    chars = [ord(c) for c in low(text)]
+    out = set()
+    for k in toxicity.SIZES:
+        for i in range(len(chars) - k + 1):
+            h = 0
+            for c in chars[i : i + k]:
+                h = (h * 0x01000193 + c * 0x9E3779B1) & 0xFFFFFFFF
+            x = ((h ^ (h >> 15)) * 0x85EBCA6B + (k * 0x27D4EB2F & 0xFFFFFFFF)) & 0xFFFFFFFF
+            out.add(x >> (32 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    """Ratios, chosen features, coefficients and scores by plain loops over a small table."""
+    texts = [(i, f"{prose(3_000 + i, 12)} {'vile ßad' if i % 4 == 0 else 'fine 😀'}") for i in range(60)]
+    y = {i: int(i % 4 == 0 or i == 7) for i, _ in texts}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(list(y.items()), "doc_id long, toxic int"), max_features=40)
+    known = [(i, grams(t)) for i, t in texts if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    pos, neg = sum(y[i] for i, _ in known), sum(1 - y[i] for i, _ in known)
+    seen = {}
+    for i, g in known:
+        for f in g:
+            seen.setdefault(f, [0, 0])[1 - y[i]] += 1
+
+    def gain(a, b):
+        cells = [(a, pos, a + b), (b, neg, a + b), (pos - a, pos, pos + neg - a - b), (neg - b, neg, pos + neg - a - b)]
+        return sum(x * np.log(x / (of * among / (pos + neg))) for x, of, among in cells if x)
+
+    top = sorted((-round(gain(a, b), 9), f) for f, (a, b) in seen.items() if a + b >= 3)[:40]
+    least = -top[-1][0]
+    assert set(f for g, f in top if -g > least + 1e-6) <= set(model.features.tolist()) and len(model.features) == 40
+    ratio = {f: np.log((seen[f][0] + 0.5) / (pos + 1)) - np.log((seen[f][1] + 0.5) / (neg + 1)) for f in model.features.tolist()}
+    coefficient = np.array([w / ratio[f] if ratio[f] else 0.0 for f, w in zip(model.features.tolist(), model.weights, strict=True)])
+    x = np.array([[ratio[f] * (f in g) for f in model.features.tolist()] for _, g in known])
+    t = np.array([y[i] for i, _ in known])
+    p = 1 / (1 + np.exp(-(x @ coefficient + model.bias)))
+    # At the minimum of the penalised loss its gradient is zero.
+    assert np.abs(x.T @ (p - t) + coefficient).max() < 0.05 and abs((p - t).sum()) < 0.05
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, text in texts:
+        z = model.bias + sum(w for f, w in zip(model.features.tolist(), model.weights, strict=True) if f in grams(text))
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_odd_rows_of_text_operators(spark, tmp_path):
+    """Null ids, repeated rows, empty tables, and columns named like those that operators add."""
+    rows = [(None, "gnu general public license"), (None, None), (1, prose(1, 30)), (1, prose(1, 30)), (2, ""), (2, " "), (3, prose(1, 30))]
+    names = ["token_ids", "decoded", "n_tokens", "fingerprint", "component_id", "matches", "items", "n_hit", "score", "spans", "labels", "removed", "kept"]
+    df = spark.createDataFrame([(*r, *[f"x{i}" for i in range(len(names))]) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(2)
+    none, items = df.limit(0), spark.createDataFrame([(1, prose(1, 30)), (1, prose(1, 30)), (None, "gnu general public license")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    operators = {
+        "licenses": lambda d: licenses.scan(d), "pieces": lambda d: pieces.encode(d, verify=True), "tokens": lambda d: tokencounts.counts(d, f"file://{tmp_path}/{d.count()}"),
+        "substrings": lambda d: substrings.repeats(d), "simhash": lambda d: simhash.near_duplicates(d), "benchmark": lambda d: decontamination.contamination(d, items), "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels)),
+    }
+    for name, run in operators.items():
+        out = run(df).collect()
+        assert len(out) == len(rows) and sum(r["doc_id"] is None for r in out) == 2, name
+        assert run(none).count() == 0, name
+        same = [tuple(r[c] for c in r.asDict() if c not in names or c in ("token_ids", "items")) for r in out if r["doc_id"] == 1]
+        assert len(same) == 2 and str(same[0]) == str(same[1]), name
+    found = {r["doc_id"]: r for r in decontamination.contamination(df, items).collect()}
+    assert found[3]["items"] == ["1"] and found[3]["n_hit"] == found[3]["n_words"] > 30 and found[None]["items"] == []
