@@ -59,10 +59,10 @@ def _normalise(text: Column, umlauts: dict[str, str]) -> Column:
         if len(to) > 1:
             folded = F.replace(folded, F.lit(c), F.lit(to))
     single = {c: to for c, to in table.items() if len(to) == 1}
-    folded = F.translate(folded, "".join(single), "".join(single.values()))
-    folded = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
-    # Plain ASCII, which has as many bytes as characters, needs no table.
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
+    rest = F.regexp_replace(F.translate(folded, "".join(single), "".join(single.values())), r"[^\x00-\x7F]", "")
+    # Plain ASCII, which has as many bytes as characters, needs no table of letters.
+    ascii_only = lambda x: F.octet_length(x) == F.length(x)
+    return F.when(ascii_only(text), F.lower(text)).when(ascii_only(folded), F.lower(folded)).otherwise(rest)
 
 
 def normalize_din(text: Column) -> Column:
@@ -89,14 +89,16 @@ def expand_abbreviation(token: Column) -> Column:
 
 
 _PART = "\x01"
-_LONG = rf"\b([a-z0-9]{{3,}}?)({'|'.join(SUFFIXES)})\b"
+#: A suffix that ends a word after three characters and more: the first that does is the longest. Letters
+#: that begin none are passed over before anything else is looked at.
+_LONG = rf"(?=[{''.join(sorted({s[0] for s in SUFFIXES}))}])(?<=[a-z0-9]{{3}})(?:{'|'.join(SUFFIXES)})\b"
 
 
 def _split(text: Column) -> Column:
     """Suffixes of the words in `text` set off by _PART; a word is split once."""
-    text = F.regexp_replace(text, _LONG, f"$1{_PART}$2")
+    text = F.regexp_replace(text, _LONG, f"{_PART}$0")
     for short, full in SHORT_SUFFIXES.items():
-        text = F.regexp_replace(text, rf"(?<!{_PART})\b([a-z0-9]{{4,}}?){short}\b(?!{_PART})", f"$1{_PART}{full}")
+        text = F.regexp_replace(text, rf"{short}\b(?<=[a-z0-9]{{{4 + len(short)}}})(?!{_PART})", f"{_PART}{full}")
     return text
 
 
@@ -107,12 +109,12 @@ def split_suffix(token: Column) -> Column:
 
 def tokenize(normalised: Column) -> Column:
     """Words of normalised text, abbreviations written out and suffixes set off."""
-    text = F.regexp_replace(normalised, "[^a-z0-9]+", " ")
-    for full in dict.fromkeys(ABBREVIATIONS.values()):
-        short = [k for k, v in ABBREVIATIONS.items() if v == full and k != full]
-        if short:
-            text = F.regexp_replace(text, rf"\b({'|'.join(short)})\b", full)
-    return F.filter(F.split(_split(text), f"[ {_PART}]"), lambda t: t != "")
+    # Each word has spaces of its own on both sides, so that neighbours are replaced alike.
+    text = F.concat(F.lit(" "), F.regexp_replace(normalised, "[^a-z0-9]+", "  "), F.lit(" "))
+    for short, full in ABBREVIATIONS.items():
+        if short != full:
+            text = F.replace(text, F.lit(f" {short} "), F.lit(f" {full} "))
+    return F.array_remove(F.split(_split(text), f"[ {_PART}]+"), "")
 
 
 def tokenize_din(text: Column) -> Column:
