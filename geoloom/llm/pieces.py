@@ -337,6 +337,18 @@ def _encode(p: Pieces, data: np.ndarray, rows: np.ndarray, key: np.ndarray, alph
     with np.errstate(over="ignore"):
         of_row = W.mix(key[full] + np.uint64(seed) * np.uint64(0xD6E8FEB86659FD93))
         mine = W.mix(of_row[row] + (np.arange(len(lo)) - part[row]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # A long row is drawn in groups of parts; parts are independent, so groups change nothing.
+    begin = np.unique(np.searchsorted(lo, np.arange(0, len(text), 2 * _CHUNK)))
+    drawn = [_draw(p, text[lo[i] : hi[j - 1]], lo[i:j] - lo[i], hi[i:j] - lo[i], mine[i:j], alpha) for i, j in zip(begin, [*begin[1:], len(lo)], strict=True) if i < j]
+    ids, count = (np.concatenate(x) for x in zip(*drawn, strict=True))
+    of = np.concatenate([[0], np.cumsum(count)])
+    per_row = np.zeros(n, np.int64)
+    per_row[full] = np.diff(of[np.append(part, len(lo))])
+    return ids, np.concatenate([[0], np.cumsum(per_row)])
+
+
+def _draw(p: Pieces, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, mine: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many for each part) of the parts text[lo:hi]."""
     short = hi - lo <= _LONG
     slo, shi = lo[short], hi[short]
     _, one, which = np.unique(W.runs_hash(text, slo, shi), return_index=True, return_inverse=True) if len(slo) else (None, slo, slo)
@@ -346,16 +358,14 @@ def _encode(p: Pieces, data: np.ndarray, rows: np.ndarray, key: np.ndarray, alph
     alone = {i: _long(p, text[lo[i] : hi[i]], mine[i], alpha) for i in np.flatnonzero(~short).tolist()}
     for i, got in alone.items():
         count[i] = len(got)
-    of = np.concatenate([[0], np.cumsum(count)])
     if alone:
+        of = np.concatenate([[0], np.cumsum(count)])
         every = np.zeros(int(of[-1]), np.int32)
         every[np.repeat(short, count)] = ids
         for i, got in alone.items():
             every[of[i] : of[i + 1]] = got
         ids = every
-    per_row = np.zeros(n, np.int64)
-    per_row[full] = np.diff(of[np.append(part, len(lo))])
-    return ids, np.concatenate([[0], np.cumsum(per_row)])
+    return ids, count
 
 
 def _decode(p: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -145,8 +145,8 @@ def _mark(data: np.ndarray, offsets: np.ndarray, size: int, known: np.ndarray):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = first[known[at] == h]
         steps = np.zeros(n + 1, np.int32)
-        np.add.at(steps, hit, 1)
-        np.add.at(steps, hit + size, -1)
+        steps[hit] += 1  # no window begins twice
+        steps[hit + size] -= 1
         covered = np.cumsum(steps[:n]) > 0
     row = w.row_of()
     removed = np.bincount(row[covered], minlength=len(offsets) - 1)

@@ -373,6 +373,12 @@ def test_pieces_of_texts_without_spaces(spark, alpha):
     df = spark.createDataFrame([*rows, *rows[:1], (None, cjk)], "doc_id long, text string")
     out = pieces.encode(df, alpha=alpha, verify=True).collect()
     assert len(out) == 6 and all(r["decoded"] == r["text"] for r in out)
+    p, data = pieces.Pieces(), np.frombuffer((prose(5, 4_000) + cjk[:5_000]).encode(), np.uint8)
+    whole = pieces._encode(p, data, np.array([0, len(data)]), np.array([3], np.uint64), alpha, 0)
+    with pytest.MonkeyPatch.context() as m:  # a row in many groups of parts gets the same pieces
+        m.setattr(pieces, "_CHUNK", 1_000)
+        parts = pieces._encode(p, data, np.array([0, len(data)]), np.array([3], np.uint64), alpha, 0)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
     one, two = (r["token_ids"] for r in out if r["doc_id"] == 0)
     assert one == two and one != next(r["token_ids"] for r in out if r["doc_id"] is None)
 
