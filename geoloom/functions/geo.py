@@ -87,8 +87,18 @@ def inside_degrees(edge_list: Column, lat: Column, lon: Column) -> Column:
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres between two places in degrees."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
-    a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return haversine_of(p1, F.cos(p1), lon1, p2, F.cos(p2), lon2)
+
+
+def haversine_of(phi1: Column, cos1: Column, lon1: Column, phi2: Column, cos2: Column, lon2: Column) -> Column:
+    """haversine() of latitudes in radians and their cosines, which a join of many pairs takes once a place."""
+    y, x = F.sin((phi2 - phi1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
+    return 2 * RADIUS * F.asin(F.sqrt(F.least(y * y + cos1 * cos2 * (x * x), F.lit(1.0))))
+
+
+def millimetres(metres: Column) -> Column:
+    """Metres of 0 and more, rounded to three digits in binary, as SQL's round() does; Spark's goes by way of decimal text."""
+    return F.floor(metres * 1000 + 0.5) / 1000
 
 
 def in_bbox(lat: Column, lon: Column, west: float, south: float, east: float, north: float) -> Column:
