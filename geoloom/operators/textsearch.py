@@ -2,7 +2,8 @@
 
 A batch of queries is one plan: no loop over queries and no scan of hot posting lists. Each
 query's rarest token proposes its candidates, whose own token sets are then tested for the
-other tokens in place.
+other tokens in place. Equal texts are searched once, and objects whose names and addresses
+are equal are one candidate: what many queries and objects repeat costs rows of the result only.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ FUZZY_BELOW = 30.0
 HOUSE_BONUS = 15.0
 # --- End of fixed values.
 NOTE = "  ·  "
+ADDRESS = ("country", "state", "city", "suburb")
+#: Objects that share these have the same tokens and scores.
+ALIKE = ("kind", "name", "level", *ADDRESS)
 #: Characters of a word from which on candidates for corrections are found by length.
 LONG = 48
 
@@ -36,14 +40,42 @@ def specificity(kind: Column, level: Column) -> Column:
     return F.when(kind == STREET, 0.7).when(kind == POI, 0.6).when(level >= 8, 0.5).when(level >= 4, 0.3).otherwise(0.2)
 
 
-def objects(points: DataFrame, lines: DataFrame, admins: DataFrame) -> DataFrame:
-    """kind, id, name, level, name_tokens (DIN, in order), tokens (both spellings) and blob of all named objects."""
-    blob = F.concat_ws(" ", *[F.nullif(text.normalize_din(F.col(c)), F.lit("")) for c in ("country", "state", "city", "suburb")])
+def _named(points: DataFrame, lines: DataFrame, admins: DataFrame) -> DataFrame:
+    """id and ALIKE of all named objects; only points have an address."""
     none = F.lit(None).cast("int").alias("level")
-    rows = points.select(F.lit(POI).alias("kind"), "id", "name", none, blob.alias("blob"))
-    rows = rows.unionByName(lines.select(F.lit(STREET).alias("kind"), "id", "name", none, F.lit("").alias("blob")))
-    rows = rows.unionByName(admins.select(F.lit(ADMIN).alias("kind"), "id", "name", F.col("admin_level").cast("int").alias("level"), text.normalize_din(F.col("name")).alias("blob")))
-    return rows.where("name is not null").select("*", text.tokenize_din(F.col("name")).alias("name_tokens"), text.token_set(F.col("name")).alias("tokens"))
+    address = [F.lit(None).cast("string").alias(c) for c in ADDRESS]
+    rows = points.select(F.lit(POI).alias("kind"), "id", "name", none, *ADDRESS)
+    rows = rows.unionByName(lines.select(F.lit(STREET).alias("kind"), "id", "name", none, *address))
+    rows = rows.unionByName(admins.select(F.lit(ADMIN).alias("kind"), "id", "name", F.col("admin_level").cast("int").alias("level"), *address))
+    return rows.where("name is not null")
+
+
+def _described(rows: DataFrame, *more: str) -> DataFrame:
+    """kind, `more`, name, level, blob, name_tokens (DIN, in order) and tokens (both spellings) of rows with ALIKE."""
+    blob = F.concat_ws(" ", *[F.nullif(text.normalize_din(F.col(c)), F.lit("")) for c in ADDRESS])
+    blob = F.when(F.col("kind") == ADMIN, text.normalize_din(F.col("name"))).otherwise(blob)
+    return rows.select("kind", *more, "name", "level", blob.alias("blob"), text.tokenize_din(F.col("name")).alias("name_tokens"), text.token_set(F.col("name")).alias("tokens"))
+
+
+def objects(points: DataFrame, lines: DataFrame, admins: DataFrame) -> DataFrame:
+    """kind, id, name, level, blob, name_tokens (DIN, in order) and tokens (both spellings) of all named objects."""
+    return _described(_named(points, lines, admins), "id")
+
+
+def counted(points: DataFrame, lines: DataFrame, admins: DataFrame) -> DataFrame:
+    """The named objects, one row for all that are alike: the columns of objects() with n, how many, in place of the id."""
+    return _described(_named(points, lines, admins).groupBy(*ALIKE).agg(F.count("*").alias("n")), "n")
+
+
+def smallest(points: DataFrame, lines: DataFrame, admins: DataFrame, limit: int) -> DataFrame:
+    """The named objects, one row for all that are alike: the columns of objects() with ids, their `limit` smallest, in place of the id.
+
+    No more of them can be among the first `limit` of any query, as ties go to the smaller id.
+    """
+    order = Window.partitionBy(*ALIKE).orderBy("id")
+    # A rank that counts repeated rows of an id once. The filter stands at the window: tasks send the smallest ids only.
+    first = _named(points, lines, admins).withColumn("at", F.dense_rank().over(order)).where(F.col("at") <= limit)
+    return _described(first.groupBy(*ALIKE).agg(F.array_sort(F.collect_set("id")).alias("ids")), "ids")
 
 
 def postings(objs: DataFrame) -> DataFrame:
@@ -53,19 +85,19 @@ def postings(objs: DataFrame) -> DataFrame:
 
 def vocabulary(objs: DataFrame) -> DataFrame:
     """(token, n): every token and how many objects have it."""
-    return postings(objs).groupBy("token").agg(F.count("*").alias("n"))
+    return objs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def query_all(queries: DataFrame, objs: DataFrame, *keys: str) -> DataFrame:
-    """keys and (kind, id, name, level, name_tokens, blob) of the objects that have all `words`.
+    """keys, words and all columns but the tokens of the objects that have all `words`.
 
-    queries: keys, words. A query without words finds nothing.
+    queries: keys, words. A query without words finds nothing. The keys are no columns of the objects.
     """
     each = queries.select(*keys, "words", F.explode(F.array_distinct("words")).alias("token"))
-    counted = each.join(vocabulary(objs), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = counted.groupBy(*keys).agg(F.min(F.struct("n", "token")).alias("r"), F.first("words").alias("words")).where("r.n > 0")
+    known = each.join(vocabulary(objs), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare = known.groupBy(*keys).agg(F.min(F.struct("n", "token")).alias("r"), F.first("words").alias("words")).where("r.n > 0")
     rare = rare.select(*keys, "words", F.col("r.token").alias("token"))
-    held = objs.select(F.explode("tokens").alias("token"), "kind", "id", "name", "level", "name_tokens", "tokens", "blob")
+    held = objs.select("*", F.explode("tokens").alias("token"))
     return rare.join(held, "token").where(F.size(F.array_except("words", "tokens")) == 0).drop("token", "tokens")
 
 
@@ -83,16 +115,37 @@ def score_columns(obj: Column, adm: Column, kind: Column, level: Column, names:
     return {"score": score, "matched": matched.cast("int"), "reason": reason}
 
 
+def as_text(words: Column) -> Column:
+    """The words, which hold no spaces, as a key."""
+    return F.array_join(words, " ")
+
+
 def rank(queries: DataFrame, objs: DataFrame) -> DataFrame:
-    """Every object of every query, split into object and admin words in all ways, with its score.
+    """Every row of `objs` that has all words of a text, split into object and admin words in all ways, with its score.
 
-    queries: query_id, path, words, note (null or what the path is to be told by).
+    queries: words and more; equal words are taken once. Returns text (as_text() of the words), k, score, matched,
+    reason and the columns of `objs` that do not describe a name.
     """
-    hits = query_all(queries, objs, "query_id", "path", "note")
-    splits = hits.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("words"))))
+    texts = queries.select("words").distinct().withColumn("text", as_text(F.col("words")))
+    splits = query_all(texts, objs, "text").withColumn("k", F.explode(F.sequence(F.lit(0), F.size("words"))))
     cols = score_columns(F.slice("words", F.lit(1), F.col("k")), F.slice("words", F.col("k") + 1, F.size("words")), F.col("kind"), F.col("level"), F.col("name_tokens"), F.col("blob"))
-    scored = splits.withColumns(cols)
-    return scored.withColumn("reason", F.concat("reason", F.coalesce(F.concat(F.lit(NOTE), "note"), F.lit("")))).select("query_id", "path", "k", "kind", "id", "score", "matched", "reason")
+    return splits.withColumns(cols).drop("words", "name", "level", "name_tokens", "blob")
+
+
+def first_of(queries: DataFrame, objs: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` objects of every path of every query: query_id, path, k, kind, id, score, matched, reason.
+
+    queries: query_id, path, words, note (null or what the path is to be told by); objs: smallest() with a column
+    `group` that numbers its rows. What is not among the first of a path is not among the first of its query either.
+    """
+    key = F.max(F.struct("score", (-F.col("k")).alias("k"), "matched", "reason")).alias("b")
+    alike = rank(queries, objs).groupBy("text", "group").agg(key, F.first("kind").alias("kind"), F.first("ids").alias("ids"))
+    # Rows of one id may differ in name, and so be in several groups.
+    each = alike.select("text", "kind", F.explode("ids").alias("id"), "b").groupBy("text", "kind", "id").agg(F.max("b").alias("b"))
+    order = Window.partitionBy("text").orderBy(F.desc("b.score"), "kind", "id")
+    first = each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= limit).select("text", (-F.col("b.k")).alias("k"), "kind", "id", "b.score", "b.matched", "b.reason")
+    found = queries.select("query_id", "path", "note", as_text(F.col("words")).alias("text")).join(first, "text")
+    return found.withColumn("reason", F.concat("reason", F.coalesce(F.concat(F.lit(NOTE), "note"), F.lit("")))).drop("text", "note")
 
 
 def best_of(scored: DataFrame) -> DataFrame:
@@ -108,6 +161,14 @@ def prepare(queries: DataFrame) -> DataFrame:
     return queries.withColumns({"words": words, "nums": nums})
 
 
+def asking(queries: DataFrame) -> DataFrame:
+    """prepare() of the queries that have words, kept in the shared folder.
+
+    The filter comes afterwards: it would else go below whatever made the texts distinct.
+    """
+    return cut(prepare(queries)).where(F.size("words") > 0)
+
+
 def corrections(words: DataFrame, objs: DataFrame) -> DataFrame:
     """(token, best): for each distinct token the word of the index within its threshold of edits,
     the nearest one and then the first in order; tokens without one are left out.
@@ -151,15 +212,15 @@ def search(queries: DataFrame, points: DataFrame, lines: DataFrame, admins: Data
     """
     limit = limit if limit > 0 else 10
     # The index and the scores are read several times below: they are kept in the shared folder.
-    objs = cut(objects(points, lines, admins))
-    asked = cut(prepare(queries).where(F.size("words") > 0))
+    objs = cut(smallest(points, lines, admins, limit).withColumn("group", F.monotonically_increasing_id()))
+    asked = asking(queries)
     plain = asked.select("query_id", F.lit(0).alias("path"), "words", F.lit(None).cast("string").alias("note"))
     other = asked.select("query_id", F.lit(1).alias("path"), text.apply_synonyms(F.col("words")).alias("s")).where("s.changed and size(s.tokens) > 0")
     other = other.select("query_id", "path", F.col("s.tokens").alias("words"), F.concat(F.lit("via "), "s.trace").alias("note"))
-    scored = cut(best_of(rank(plain.unionByName(other), objs)))
+    scored = cut(first_of(plain.unionByName(other), objs, limit))
     good = scored.groupBy("query_id").agg(F.max("score").alias("top")).where(F.col("top") >= FUZZY_BELOW)
     weak = asked.join(good, "query_id", "left_anti")
-    scored = best_of(scored.unionByName(best_of(rank(cut(_fuzzy(weak, objs)), objs))))
+    scored = best_of(scored.unionByName(first_of(cut(_fuzzy(weak, objs)), objs, limit)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "kind", "id")
     # The filter stands at the window, so that each task sorts and sends `limit` rows of a query only.
     ranked = cut(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
