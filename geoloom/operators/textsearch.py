@@ -227,19 +227,26 @@ def search(queries: DataFrame, points: DataFrame, lines: DataFrame, admins: Data
     return _houses(ranked, asked, points, lines).select("query_id", "rank", "kind", "id", "score", "matched", "reason")
 
 
+def wanted(ranked: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, number, all_words, at, line_id) of queries with a number that find a street; the houses they want, once each."""
+    numbered = asked.where(F.size("nums") > 0).select("query_id", F.col("nums")[0].alias("number"), as_text(F.col("words")).alias("all_words"))
+    first = ranked.where(F.col("kind") == STREET).groupBy("query_id").agg(F.min(F.struct("rank", "id")).alias("f")).select("query_id", F.col("f.rank").alias("at"), F.col("f.id").alias("line_id"))
+    numbered = numbered.join(first, "query_id")
+    return numbered, numbered.select("number", "all_words", "line_id").distinct()
+
+
 def _houses(ranked: DataFrame, asked: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
     """The first street of each query with a number, replaced by the house if there is one."""
-    numbered = asked.where(F.size("nums") > 0).select("query_id", F.col("nums")[0].alias("number"), F.array_join("words", " ").alias("all_words"))
-    first = ranked.where(F.col("kind") == STREET).groupBy("query_id").agg(F.min(F.struct("rank", "id")).alias("f")).select("query_id", F.col("f.rank").alias("at"), F.col("f.id").alias("line_id"))
+    numbered, want = wanted(ranked, asked)
     street = lines.where("name is not null").select(F.col("id").alias("line_id"), text.normalize_din(F.col("name")).alias("norm"), "min_lat", "max_lat", "min_lon", "max_lon")
-    want = numbered.join(first, "query_id").join(street, "line_id")
     house = points.where("housenumber is not null and street is not null").select(
-        F.col("id").alias("house_id"), F.col("housenumber").alias("number"), text.normalize_din(F.col("street")).alias("norm"), "lat_e7", "lon_e7",
+        F.col("id").alias("house_id"), F.col("housenumber").alias("number"), F.coalesce(text.normalize_din(F.col("street")), F.lit("")).alias("norm"), "lat_e7", "lon_e7",
         F.concat(F.coalesce(text.normalize_din(F.col("city")), F.lit("")), F.lit(" "), F.coalesce(text.normalize_din(F.col("state")), F.lit(""))).alias("place"),
     )
-    met = want.join(house, ["number", "norm"]).where("lat_e7 between min_lat and max_lat and lon_e7 between min_lon and max_lon")
+    met = want.join(street, "line_id").join(house, ["number", "norm"]).where("lat_e7 between min_lat and max_lat and lon_e7 between min_lon and max_lon")
     bonus = F.when(F.contains("place", "all_words"), 2).otherwise(0)
-    best = met.groupBy("query_id", "at", "number").agg(F.min(F.struct((-bonus).alias("b"), "house_id"))["house_id"].alias("house_id"))
+    each = met.groupBy("number", "all_words", "line_id").agg(F.min(F.struct((-bonus).alias("b"), "house_id")).alias("h"))
+    best = numbered.join(each, ["number", "all_words", "line_id"]).groupBy("query_id", "at", "number").agg(F.min("h")["house_id"].alias("house_id"))
     out = ranked.join(best.withColumnRenamed("query_id", "q2"), (F.col("query_id") == F.col("q2")) & (F.col("rank") == F.col("at")), "left")
     is_house = F.col("house_id").isNotNull()
     return out.select(

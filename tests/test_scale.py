@@ -91,3 +91,13 @@ def test_two_texts_of_one_query(spark):
     queries = asked(spark, "Schraube", 1).unionByName(asked(spark, "koenigstrasse", 1))
     got = textsearch.search(queries, *crowd(spark), limit=4).orderBy("rank").collect()
     assert [r["rank"] for r in got] == [1, 2, 3, 4] and len({(r["kind"], r["id"]) for r in got}) == 4
+
+
+def test_equal_wants_find_their_house_once(spark):
+    points, lines, admins = crowd(spark)
+    queries = cut(asked(spark, "Königstr. 5").unionByName(asked(spark, "Königstr. 6", 5, 100)))
+    ranked = cut(textsearch.search(queries.withColumn("q", F.lit("Königstr.")), points, lines, admins, limit=2))
+    numbered, want = textsearch.wanted(ranked, textsearch.asking(queries))
+    assert numbered.count() == 35 and sorted(map(tuple, want.collect())) == [("5", "koenig strasse", 100), ("6", "koenig strasse", 100)]
+    got = textsearch.search(queries, points, lines, admins, limit=2).where("rank = 1").collect()
+    assert {(r["query_id"], r["kind"], r["id"]) for r in got} == {(q, 0, 1005) for q in range(30)} | {(100 + q, 0, 1006) for q in range(5)}
