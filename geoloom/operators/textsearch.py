@@ -192,6 +192,14 @@ def corrections(words: DataFrame, objs: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.min(F.struct("d", "word"))["word"].alias("best"))
 
 
+def _translated(asked: DataFrame) -> DataFrame:
+    """Path 1: the queries whose words have synonyms, which are looked up once for equal words."""
+    # Kept, as the filter and each field would else take the synonyms again.
+    texts = cut(asked.select("words").distinct().withColumn("s", text.apply_synonyms(F.col("words"))))
+    texts = texts.where("s.changed and size(s.tokens) > 0").select("words", F.col("s.tokens").alias("other"), F.concat(F.lit("via "), "s.trace").alias("note"))
+    return asked.join(texts, "words").select("query_id", F.lit(1).alias("path"), F.col("other").alias("words"), "note")
+
+
 def _fuzzy(weak: DataFrame, objs: DataFrame) -> DataFrame:
     each = weak.select("query_id", F.posexplode("words").alias("pos", "token"))
     fixed = each.join(corrections(each, objs), "token", "left").withColumn("word", F.coalesce("best", "token"))
@@ -215,9 +223,7 @@ def search(queries: DataFrame, points: DataFrame, lines: DataFrame, admins: Data
     objs = cut(smallest(points, lines, admins, limit).withColumn("group", F.monotonically_increasing_id()))
     asked = asking(queries)
     plain = asked.select("query_id", F.lit(0).alias("path"), "words", F.lit(None).cast("string").alias("note"))
-    other = asked.select("query_id", F.lit(1).alias("path"), text.apply_synonyms(F.col("words")).alias("s")).where("s.changed and size(s.tokens) > 0")
-    other = other.select("query_id", "path", F.col("s.tokens").alias("words"), F.concat(F.lit("via "), "s.trace").alias("note"))
-    scored = cut(first_of(plain.unionByName(other), objs, limit))
+    scored = cut(first_of(plain.unionByName(_translated(asked)), objs, limit))
     good = scored.groupBy("query_id").agg(F.max("score").alias("top")).where(F.col("top") >= FUZZY_BELOW)
     weak = asked.join(good, "query_id", "left_anti")
     scored = best_of(scored.unionByName(first_of(cut(_fuzzy(weak, objs)), objs, limit)))

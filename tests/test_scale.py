@@ -101,3 +101,10 @@ def test_equal_wants_find_their_house_once(spark):
     assert numbered.count() == 35 and sorted(map(tuple, want.collect())) == [("5", "koenig strasse", 100), ("6", "koenig strasse", 100)]
     got = textsearch.search(queries, points, lines, admins, limit=2).where("rank = 1").collect()
     assert {(r["query_id"], r["kind"], r["id"]) for r in got} == {(q, 0, 1005) for q in range(30)} | {(100 + q, 0, 1006) for q in range(5)}
+
+
+def test_equal_texts_are_translated_once(spark, kept):
+    queries = textsearch.asking(asked(spark, "king street"))
+    kept.clear()
+    got = textsearch._translated(queries).collect()
+    assert kept == [1] and {(r["query_id"], r["path"], tuple(r["words"]), r["note"]) for r in got} == {(q, 1, ("king", "strasse"), "via 'street' → 'strasse'") for q in range(30)}
