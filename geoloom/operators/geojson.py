@@ -33,8 +33,12 @@ def _field(name: str, value: Column) -> Column:
     return F.when(value.isNull() | (value == ""), "").otherwise(F.concat(F.lit(f',"{name}":'), quoted(value)))
 
 
+def _begun(kind: str, coordinates: Column, properties: Column) -> Column:
+    return F.concat(F.lit(f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":'), coordinates, F.lit('},"properties":{'), properties)
+
+
 def _feature(kind: str, coordinates: Column, properties: Column) -> Column:
-    return F.concat(F.lit(f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":'), coordinates, F.lit('},"properties":{'), properties, F.lit("}}"))
+    return F.concat(_begun(kind, coordinates, properties), F.lit("}}"))
 
 
 def points(df: DataFrame) -> DataFrame:
@@ -52,18 +56,25 @@ def admins(df: DataFrame) -> DataFrame:
     return df.select("id", _feature("Polygon", F.concat(F.lit("["), _path(F.col("ring")), F.lit("]")), props).alias("feature"))
 
 
+def drawn(results: DataFrame, kind: int, objs: DataFrame, begun: Column) -> DataFrame:
+    """id and `begun`, the feature up to what differs by query, of each object of a kind among the results, once each."""
+    ids = results.where(F.col("kind") == kind).select("id").distinct()
+    return objs.join(ids, "id", "left_semi").select("id", begun.alias("begun"))
+
+
 def search(results: DataFrame, pts: DataFrame, lns: DataFrame, adms: DataFrame) -> DataFrame:
     """Features of search results: query_id, rank, feature."""
-    results = cut(results)  # read once for each kind
-    tail = F.concat(F.format_string(',"score":%.2f,"matched":%d', F.col("score"), F.col("matched")), _field("reason", F.col("reason")), F.lit(""))
+    results = cut(results)  # read twice for each kind
     head = lambda k: F.concat(F.lit(f'"kind":"{k}","id":'), F.col("id"))
     fields = lambda *names: [_field(c, F.col(c)) for c in names]
-    of = lambda kind: results.where(F.col("kind") == kind).select("query_id", "rank", "id", "score", "matched", "reason")
-    a = of(textsearch.POI).join(pts, "id").select("query_id", "rank", _feature("Point", _pair(F.col("lat_e7"), F.col("lon_e7")), F.concat(head("poi"), *fields("name", "type", "street", "housenumber", "city", "state", "country"), tail)).alias("feature"))
-    b = of(textsearch.STREET).join(lns, "id").select("query_id", "rank", _feature("LineString", _path(F.col("coords")), F.concat(head("street"), *fields("name", "type"), tail)).alias("feature"))
+    a = _begun("Point", _pair(F.col("lat_e7"), F.col("lon_e7")), F.concat(head("poi"), *fields("name", "type", "street", "housenumber", "city", "state", "country")))
+    b = _begun("LineString", _path(F.col("coords")), F.concat(head("street"), *fields("name", "type")))
     level = F.concat(F.lit(',"admin_level":'), F.col("admin_level"))
-    c = of(textsearch.ADMIN).join(adms, "id").select("query_id", "rank", _feature("Polygon", F.concat(F.lit("["), _path(F.col("ring")), F.lit("]")), F.concat(head("admin"), level, *fields("name"), tail)).alias("feature"))
-    return a.unionByName(b).unionByName(c)
+    c = _begun("Polygon", F.concat(F.lit("["), _path(F.col("ring")), F.lit("]")), F.concat(head("admin"), level, *fields("name")))
+    kinds = (textsearch.POI, pts, a), (textsearch.STREET, lns, b), (textsearch.ADMIN, adms, c)
+    a, b, c = (drawn(results, kind, objs, begun).withColumn("kind", F.lit(kind)) for kind, objs, begun in kinds)
+    tail = F.concat(F.format_string(',"score":%.2f,"matched":%d', F.col("score"), F.col("matched")), _field("reason", F.col("reason")), F.lit("}}"))
+    return results.join(a.unionByName(b).unionByName(c), ["kind", "id"]).select("query_id", "rank", F.concat("begun", tail).alias("feature"))
 
 
 def reverse(found: DataFrame, pts: DataFrame, adms: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Plans whose work must not grow with what equal rows repeat, nor wait for one task."""
 
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import textsearch
+from geoloom.operators import geojson, textsearch
 from geoloom.plans import catalogue
 from geoloom.session import cut
 
@@ -108,3 +109,13 @@ def test_equal_texts_are_translated_once(spark, kept):
     kept.clear()
     got = textsearch._translated(queries).collect()
     assert kept == [1] and {(r["query_id"], r["path"], tuple(r["words"]), r["note"]) for r in got} == {(q, 1, ("king", "strasse"), "via 'street' → 'strasse'") for q in range(30)}
+
+
+def test_an_object_is_drawn_once_for_all_queries(spark):
+    points, lines, admins = crowd(spark)
+    results = cut(textsearch.search(asked(spark, "koenigstrasse"), points, lines, admins, limit=2))
+    assert sorted(r["id"] for r in geojson.drawn(results, textsearch.STREET, lines, F.lit("{")).collect()) == [100, 101]
+    got = geojson.search(results, points, lines, admins).collect()
+    assert len(got) == results.count() == 60 and len({r["feature"] for r in got}) == 2
+    shown = json.loads(got[0]["feature"])
+    assert shown["geometry"]["type"] == "LineString" and list(shown["properties"]) == ["kind", "id", "name", "score", "matched", "reason"]
