@@ -50,6 +50,12 @@ def _named(points: DataFrame, lines: DataFrame, admins: DataFrame) -> DataFrame:
     return rows.where("name is not null")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes that take long each, dealt to all cores: by their size they would share one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _described(rows: DataFrame, *more: str) -> DataFrame:
     """kind, `more`, name, level, blob, name_tokens (DIN, in order) and tokens (both spellings) of rows with ALIKE."""
     blob = F.concat_ws(" ", *[F.nullif(text.normalize_din(F.col(c)), F.lit("")) for c in ADDRESS])
@@ -75,7 +81,7 @@ def smallest(points: DataFrame, lines: DataFrame, admins: DataFrame, limit: int)
     order = Window.partitionBy(*ALIKE).orderBy("id")
     # A rank that counts repeated rows of an id once. The filter stands at the window: tasks send the smallest ids only.
     first = _named(points, lines, admins).withColumn("at", F.dense_rank().over(order)).where(F.col("at") <= limit)
-    return _described(first.groupBy(*ALIKE).agg(F.array_sort(F.collect_set("id")).alias("ids")), "ids")
+    return _described(_dealt(first.groupBy(*ALIKE).agg(F.array_sort(F.collect_set("id")).alias("ids"))), "ids")
 
 
 def postings(objs: DataFrame) -> DataFrame:
@@ -183,7 +189,7 @@ def corrections(words: DataFrame, objs: DataFrame) -> DataFrame:
     size = F.length("token")
     near = F.when(F.col("k") == 1, text.deletions(F.col("token"), 1)).otherwise(text.deletions(F.col("token"), 2))
     left = asked.where(size <= LONG).select("token", "k", F.explode(near).alias("left"))
-    right = known.where(F.length("word") <= LONG + 2).select("word", F.explode(text.deletions(F.col("word"), 2)).alias("left"))
+    right = _dealt(known.where(F.length("word") <= LONG + 2)).select("word", F.explode(text.deletions(F.col("word"), 2)).alias("left"))
     long = asked.where(size > LONG).select("token", "k", F.explode(F.sequence(size - 2, size + 2)).alias("size"))
     alike = long.join(known.where(F.length("word") > LONG - 2).withColumn("size", F.length("word")), "size").select("token", "k", "word")
     pairs = left.join(right, "left").select("token", "k", "word").distinct().unionByName(alike)

@@ -119,3 +119,9 @@ def test_an_object_is_drawn_once_for_all_queries(spark):
     assert len(got) == results.count() == 60 and len({r["feature"] for r in got}) == 2
     shown = json.loads(got[0]["feature"])
     assert shown["geometry"]["type"] == "LineString" and list(shown["properties"]) == ["kind", "id", "name", "score", "matched", "reason"]
+
+
+def test_equal_typos_are_corrected_once(spark, kept):
+    got = textsearch.search(asked(spark, "koenigstrase"), *crowd(spark), limit=2).collect()
+    assert {(r["query_id"], r["rank"], r["id"]) for r in got} == {(q, k, 99 + k) for q in range(30) for k in (1, 2)}
+    assert all("fuzzy: " in r["reason"] for r in got) and max(kept) <= 30 * 2
